@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import json
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROWS_PER_SHARD = 200_000
+ROWS_PER_SHARD = 50_000
 _CHUNK = 1 << 16
 
 
@@ -76,38 +77,43 @@ class SeenBits:
 # ---- identity of a turn
 
 
-def uuid_bytes(text: Column) -> Column:
-    """The value of a UUID however it is written; the trimmed text, marked, for anything else. Null for null."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"^urn:uuid:", ""), r"[{}\-]", "")
-    return F.when(plain.rlike(r"^[0-9a-f]{32}\z"), F.concat(F.lit(b"\x01"), F.unhex(plain))).otherwise(
-        F.concat(F.lit(b"\x00"), F.encode(F.trim(text), "UTF-8"))
-    )
-
+def _tagged(value: Column, text: Column) -> Column:
+    """The bytes of a recognised value, else those of the text; a first byte tells which."""
+    return F.coalesce(F.concat(F.lit(b"\x01"), value), F.concat(F.lit(b"\x00"), F.encode(text, "UTF-8")), F.lit(b"\x02"))
 
-def sha256_bytes(text: Column) -> Column:
-    """The value of a SHA-256 in hexadecimal or base64, with or without a prefix; else the trimmed text, marked."""
-    bare = F.regexp_replace(F.trim(text), r"^(?i:sha-?256[:=\-]|0x)\s*", "")
-    base64 = F.try_to_binary(F.translate(F.rpad(F.substring(bare, 1, 43), 44, "="), "-_", "+/"), F.lit("base64"))
-    return (
-        F.when(bare.rlike(r"^[0-9a-fA-F]{64}\z"), F.concat(F.lit(b"\x01"), F.unhex(bare)))
-        .when(bare.rlike(r"^[A-Za-z0-9+/_\-]{43}=?\z"), F.concat(F.lit(b"\x01"), base64))
-        .otherwise(F.concat(F.lit(b"\x00"), F.encode(F.trim(text), "UTF-8")))
-    )
 
+def _sized(part: str) -> Column:
+    """A part with its length in front, so that joined parts cannot be confused."""
+    return F.concat(F.unhex(F.lpad(F.hex(F.length(part).cast("long")), 8, "0")), F.col(part))
 
-def _sized(part: Column) -> Column:
-    """A part with its length in front, so that concatenated parts cannot be confused; null has a length of its own."""
-    size = F.lpad(F.hex(F.length(part).cast("long")), 8, "0")
-    return F.when(part.isNull(), F.unhex(F.lit("FFFFFFFF"))).otherwise(F.concat(F.unhex(size), part))
 
+def turn_identity(df: DataFrame, source: str = "source", session: str = "external_id", seq: str = "seq", digest: str = "content_hash") -> DataFrame:
+    """The rows that have a source, a session and a seq, with column _ident: the exact identity of the turn as bytes.
 
-def turn_identity(source: str = "source", session: str = "external_id", seq: str = "seq", digest: str = "content_hash") -> Column:
-    """The exact identity of a turn as bytes; null without a source, session or seq. Null hashes equal each other."""
-    known = F.col(source).isNotNull() & F.col(session).isNotNull() & F.col(seq).isNotNull()
-    number = F.unhex(F.lpad(F.hex(F.col(seq).cast("long")), 16, "0"))
-    return F.when(
-        known, F.concat(_sized(F.encode(F.col(source), "UTF-8")), _sized(uuid_bytes(F.col(session))), number, _sized(sha256_bytes(F.col(digest))))
+    A UUID counts by its value however it is written (case, braces, urn:uuid:, without hyphens), a SHA-256
+    likewise (case, prefix, base64); other spellings count by their trimmed text. Null hashes equal each other.
+    """
+    # Each step uses the expressions of the step before it once per column, so nothing is computed twice.
+    known = df.where(F.col(source).isNotNull() & F.col(session).isNotNull() & F.col(seq).isNotNull())
+    step = known.withColumns(
+        {
+            "_session": F.trim(session),
+            "_digest": F.regexp_replace(F.trim(digest), r"^(?i:sha-?256[:=\-]|0x)\s*", ""),
+            "_source": F.encode(F.col(source), "UTF-8"),
+        }
+    )
+    step = step.withColumns({"_uuid": F.regexp_replace(F.lower("_session"), r"^urn:uuid:|[{}\-]", "")})
+    base64 = F.try_to_binary(F.translate(F.rpad("_digest", 44, "="), "-_", "+/"), F.lit("base64"))
+    step = step.withColumns(
+        {
+            "_session": _tagged(F.when(F.col("_uuid").rlike(r"^[0-9a-f]{32}\z"), F.unhex("_uuid")), F.col("_session")),
+            "_digest": _tagged(
+                F.when(F.col("_digest").rlike(r"^[0-9a-fA-F]{64}\z"), F.unhex("_digest")).when(F.col("_digest").rlike(r"^[A-Za-z0-9+/_\-]{43}=?\z"), base64), F.col("_digest")
+            ),
+        }
     )
+    number = F.unhex(F.lpad(F.hex(F.col(seq).cast("long")), 16, "0"))
+    return step.withColumn("_ident", F.concat(number, _sized("_source"), _sized("_session"), F.col("_digest"))).drop("_uuid", "_session", "_digest", "_source")
 
 
 # ---- order of arrival as one number, so that the first arrival folds in a hash aggregate
@@ -138,7 +144,7 @@ class SeenStore:
     A batch writes its files first and then replaces the file that names the newest batch by a rename, so
     readers see a batch wholly or not at all and a batch that failed half-way leaves no trace but files
     nobody reads. One writer at a time. The number of shards is fixed when the store is made; choose it
-    for the identifiers to come, about 200,000 to a shard and batch.
+    for the identifiers to come, about 50,000 to a shard and batch.
     """
 
     def __init__(self, spark: SparkSession, path: str, shards: int = 64):
@@ -186,69 +192,76 @@ class SeenStore:
         return self.spark.read.parquet(f"{self.path}/batch-{self.version}")
 
 
-_SELECTION = "shard int, ident binary, code long, arrival decimal(38,0), fresh boolean, bits binary"
+_SELECTION = "shard int, ident binary, code long, kept long, fresh boolean, bits binary"
+
 
+def _select(batch: pd.DataFrame, state: pd.DataFrame | None, remember: bool = True) -> pd.DataFrame:
+    """One arrival for each identifier whose bit is not set yet, and the shard's bitmap with the new bits.
 
-def _select(batch: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-    """One arrival for each identifier whose bit is not set yet, and the shard's bitmap with the new bits."""
+    Identifiers are listed only where they are to be remembered.
+    """
     shard = int(batch["shard"].iloc[0] if len(batch) else state["shard"].iloc[0])
-    bitmaps, words = state[state["bits"].notna()], state[state["ident"].notna()]
-    seen = SeenBits.loads(bitmaps["bits"].iloc[0] if len(bitmaps) else None)
-    known = dict(zip(words["ident"].map(bytes), words["code"].astype("int64")))
-    idents = [bytes(x) for x in batch["ident"]]
-    codes = np.array([known.get(x, -1) for x in idents], dtype=np.int64)
+    seen, known = SeenBits(), {}
+    if state is not None:
+        bitmaps, words = state[state["bits"].notna()], state[state["ident"].notna()]
+        seen = SeenBits.loads(bitmaps["bits"].iloc[0] if len(bitmaps) else None)
+        known = dict(zip(words["ident"].map(bytes), words["code"].astype("int64")))
+    idents = batch["ident"].to_numpy(dtype=object)
+    codes = np.array([known.get(bytes(x), -1) for x in idents], dtype=np.int64) if known else np.full(len(idents), -1, dtype=np.int64)
     fresh = codes < 0
     codes[fresh] = len(known) + np.arange(int(fresh.sum()))
     unseen = ~seen.contains(codes)
     seen.union(codes[unseen])
-    chosen = pd.DataFrame(
-        {"shard": shard, "ident": idents, "code": codes, "arrival": batch["arrival"], "fresh": fresh, "bits": None}
-    )[unseen]
-    whole = pd.DataFrame({"shard": [shard], "ident": [None], "code": [None], "arrival": [None], "fresh": [False], "bits": [seen.dumps()]})
+    chosen = {"shard": shard, "ident": idents if remember else None, "code": codes, "kept": batch["key"].to_numpy(), "fresh": fresh, "bits": None}
+    chosen = pd.DataFrame(chosen, index=range(len(idents)))[unseen]
+    whole = pd.DataFrame({"shard": [shard], "ident": [None], "code": [None], "kept": [None], "fresh": [False], "bits": [seen.dumps()]})
     return pd.concat([chosen, whole], ignore_index=True) if len(chosen) else whole
 
 
-def select_unseen(batch: DataFrame, identity: Column, time: str, key: str, shards: int, state: DataFrame | None = None) -> DataFrame:
+Identity = Callable[[DataFrame], DataFrame]
+
+
+def select_unseen(batch: DataFrame, identity: Identity, time: str, key: str, shards: int, state: DataFrame | None = None, remember: bool = True) -> DataFrame:
     """For each shard the first arrival of every identifier not seen yet, and one row with the shard's new bitmap."""
     ids = (
-        batch.select(identity.alias("ident"), _arrival(F.col(time), F.col(key)).alias("arrival"))
-        .where("ident IS NOT NULL AND arrival IS NOT NULL")
-        .groupBy(F.pmod(F.xxhash64("ident"), F.lit(shards)).cast("int").alias("shard"), "ident")
+        identity(batch)
+        .where(F.col(key).isNotNull())
+        .select(F.col("_ident").alias("ident"), _arrival(F.col(time), F.col(key)).alias("arrival"))
+        .withColumn("shard", F.pmod(F.xxhash64("ident"), F.lit(shards)).cast("int"))
+        .groupBy("shard", "ident")
         .agg(F.min("arrival").alias("arrival"))
+        .select("shard", "ident", _key_of(F.col("arrival")).alias("key"))
     )
     if state is None:
-        none = pd.DataFrame({"shard": pd.Series(dtype="int32"), "ident": pd.Series(dtype=object), "code": pd.Series(dtype="int64"), "bits": pd.Series(dtype=object)})
-        return ids.groupBy("shard").applyInPandas(lambda rows: _select(rows, none), _SELECTION)
-    return ids.groupBy("shard").cogroup(state.groupBy("shard")).applyInPandas(_select, _SELECTION)
+        return ids.groupBy("shard").applyInPandas(lambda rows: _select(rows, None, remember), _SELECTION)
+    return ids.groupBy("shard").cogroup(state.groupBy("shard")).applyInPandas(lambda rows, old: _select(rows, old, remember), _SELECTION)
 
 
 def shards_for(rows: int) -> int:
     return max(8, -(-rows // ROWS_PER_SHARD))
 
 
-def kept_deliveries(batch: DataFrame, store: SeenStore | None = None, *, identity: Column | None = None, time: str = "delivered_at", key: str = "delivery_id") -> DataFrame:
+def kept_deliveries(batch: DataFrame, store: SeenStore | None = None, *, identity: Identity = turn_identity, time: str = "delivered_at", key: str = "delivery_id") -> DataFrame:
     """The key of the one delivery to keep of each message: the earliest, of equal times the smallest key.
 
-    With a store, messages kept in earlier batches are not kept again, and this batch is committed to it.
-    A null time counts as the latest. A delivery without identity equals no other and is not listed here;
-    redeliveries() and deduplicate() keep it. Rows without a key cannot be told apart and are left out too.
+    identity(batch) gives the rows that have one, with it in column _ident. With a store, messages kept in
+    earlier batches are not kept again, and this batch is committed to it. A null time counts as the latest. A
+    delivery without identity equals no other and is not listed here; deduplicate() keeps it. Rows without a
+    key cannot be told apart and are left out too.
     """
-    identity = turn_identity() if identity is None else identity
     if store is None:
-        chosen = select_unseen(batch, identity, time, key, shards_for(batch.count()))
+        chosen = select_unseen(batch, identity, time, key, shards_for(batch.count()), remember=False)
     else:
         store.commit(select_unseen(batch, identity, time, key, store.shards, store.state()))
         chosen = store.selection()
-    return chosen.where("bits IS NULL").select(_key_of(F.col("arrival")).alias(key))
+    return chosen.where("bits IS NULL").select(F.col("kept").alias(key))
 
 
-def redeliveries(batch: DataFrame, store: SeenStore | None = None, *, identity: Column | None = None, time: str = "delivered_at", key: str = "delivery_id") -> DataFrame:
+def redeliveries(batch: DataFrame, store: SeenStore | None = None, *, identity: Identity = turn_identity, time: str = "delivered_at", key: str = "delivery_id") -> DataFrame:
     """The key of every delivery of a message but the kept one. Fully repeated rows are one delivery."""
-    identity = turn_identity() if identity is None else identity
-    known = batch.where(identity.isNotNull()).select(key)
-    return known.join(kept_deliveries(batch, store, identity=identity, time=time, key=key), key, "left_anti")
+    return identity(batch).select(key).join(kept_deliveries(batch, store, identity=identity, time=time, key=key), key, "left_anti")
 
 
-def deduplicate(batch: DataFrame, store: SeenStore | None = None, *, identity: Column | None = None, time: str = "delivered_at", key: str = "delivery_id") -> DataFrame:
+def deduplicate(batch: DataFrame, store: SeenStore | None = None, *, identity: Identity = turn_identity, time: str = "delivered_at", key: str = "delivery_id") -> DataFrame:
     """The rows of batch without redeliveries; rows without identity or key stay."""
     return batch.join(redeliveries(batch, store, identity=identity, time=time, key=key), key, "left_anti")

@@ -50,7 +50,7 @@ def test_batches_through_a_store_equal_one_batch(spark, tmp_path):
 def test_failed_batch_leaves_no_trace(spark, tmp_path):
     df = frame(spark, [(1, "s", U, 1, H, T0), (2, "s", U, 1, H, T0)])
     store = d.SeenStore(spark, f"file://{tmp_path}/seen", shards=2)
-    d.select_unseen(df, d.turn_identity(), "delivered_at", "delivery_id", 2).write.parquet(f"file://{tmp_path}/seen/batch-1")
+    d.select_unseen(df, d.turn_identity, "delivered_at", "delivery_id", 2).write.parquet(f"file://{tmp_path}/seen/batch-1")
     assert ids(d.redeliveries(df, store)) == [2]
     assert ids(d.redeliveries(df, store)) == [1, 2]
 
