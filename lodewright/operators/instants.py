@@ -204,7 +204,8 @@ def instant_us(text: Column, zone: Column, locale: Column) -> Column:
             raise RuntimeError(f"zone data {data_version()} here, {version} on the driver")
         return parse_instants(texts, zones, locales)
 
-    return convert(text, zone, locale)
+    # Called non-deterministic so that a filter on the result does not make the optimizer run it twice.
+    return convert.asNondeterministic()(text, zone, locale)
 
 
 def normalise(df: DataFrame, text: str, projects: DataFrame, project: str = "project_id", out: str = "instant_us") -> DataFrame:
