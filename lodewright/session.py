@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str | None = None, app: str = "lodewright", **conf: str) -> SparkSession:
@@ -56,3 +57,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The test table of that name."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def as_micros(df: DataFrame) -> DataFrame:
+    """df with its timestamps as microseconds since 1970-01-01 UTC, which every engine compares alike."""
+    kinds = dict(df.dtypes)
+    return df.select(*[F.unix_micros(F.col(c).cast("timestamp")).alias(c) if kinds[c].startswith("timestamp") else F.col(c) for c in df.columns])
