@@ -89,14 +89,18 @@ def within(matched: Column, anchor: Column, days: int) -> Column:
     return F.abs(F.unix_micros(matched) - F.unix_micros(anchor)) <= F.lit(days * DAY_US)
 
 
-def numbered(events: DataFrame, by: str, time: str, key: str, bucket_us: int = DAY_US) -> DataFrame:
+def numbered(events: DataFrame, by: str | list[str], time: str, key: str, bucket_us: int = DAY_US) -> DataFrame:
     """events with _rank: their number in their entity by (time, key), from 1, counted bucket by bucket.
 
     Rows with a null entity or time are left out.
     """
-    rows = events.where(F.col(by).isNotNull() & F.col(time).isNotNull()).withColumn("_bucket", _bucket(F.unix_micros(time), bucket_us))
-    counts = rows.groupBy(by, "_bucket").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(by, "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(by, "_bucket").orderBy(time, key))
-    return rows.join(offsets, [by, "_bucket"]).withColumn("_rank", F.col("_before") + inside).drop("_bucket", "_before")
+    by = [by] if isinstance(by, str) else by
+    known = F.col(time).isNotNull()
+    for c in by:
+        known = known & F.col(c).isNotNull()
+    rows = events.where(known).withColumn("_bucket", _bucket(F.unix_micros(time), bucket_us))
+    counts = rows.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*by, "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(time, key))
+    return rows.join(offsets, [*by, "_bucket"]).withColumn("_rank", F.col("_before") + inside).drop("_bucket", "_before")

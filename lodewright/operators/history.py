@@ -72,10 +72,14 @@ def bus_factor(authored: DataFrame, share: float = BUS_SHARE) -> DataFrame:
 
 
 def islands(churned: DataFrame) -> DataFrame:
-    """The files of one author with enough commits, with their number in the project by first change."""
+    """project_id, path, commits, first_seen of the files of one author with enough commits."""
+    return churned.where((F.col("authors") <= 1) & (F.col("commits") >= ISLAND_COMMITS)).select("project_id", "path", "commits", "first_seen")
+
+
+def first_islands(lone: DataFrame, top: int = TOP_ISLANDS) -> DataFrame:
+    """The islands of each project that changed first, at most top, with their place."""
     order = Window.partitionBy("project_id").orderBy("first_seen", "path")
-    lone = churned.where((F.col("authors") <= 1) & (F.col("commits") >= ISLAND_COMMITS))
-    return lone.select("project_id", "path", "commits", F.row_number().over(order).alias("place"))
+    return lone.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).drop("first_seen")
 
 
 def cadence(commits: DataFrame, now: DataFrame | None = None, days: int = 90) -> DataFrame:
