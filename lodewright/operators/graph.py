@@ -134,7 +134,7 @@ def coupling_score(coupled: DataFrame) -> DataFrame:
     """project_id, score, avg_instability."""
     bad = coupled.where((F.col("distance") > 0.5) & (F.col("ca") >= 3)).groupBy("project_id").agg(F.count("*").alias("_n"), F.max("distance").alias("_top"))
     base = coupled.groupBy("project_id").agg(rounded(F.avg("instability"), 3).alias("avg_instability")).join(bad, "project_id", "left")
-    penalty = F.coalesce(F.least(F.lit(35.0), F.col("_n") * 5 + (F.col("_top") - 0.5) * 30), F.lit(0.0))
+    penalty = F.least(F.lit(35.0), F.coalesce(F.col("_n") * 5 + (F.col("_top") - 0.5) * 30, F.lit(0.0)))
     return base.select("project_id", rounded(F.greatest(F.lit(0.0), 100 - penalty), 1).alias("score"), "avg_instability")
 
 

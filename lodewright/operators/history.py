@@ -105,9 +105,9 @@ def score(hot: DataFrame, bus: DataFrame, lone: DataFrame) -> DataFrame:
     top = hot.where("place = 1").select("project_id", F.col("path").alias("_path"), F.col("composite").alias("_top"))
     count = lone.groupBy("project_id").agg(F.count("*").alias("_islands"))
     base = bus.join(top, "project_id", "left").join(count, "project_id", "left")
-    hot_pen = F.coalesce(F.least(F.lit(40.0), F.col("_top") * 0.4), F.lit(0.0))
+    hot_pen = F.least(F.lit(40.0), F.coalesce(F.col("_top") * 0.4, F.lit(0.0)))
     bus_pen = F.when(F.col("bus_factor") == 1, 35.0).when(F.col("bus_factor") == 2, 20.0).when(F.col("bus_factor") <= 4, 8.0).otherwise(0.0)
-    lone_pen = F.coalesce(F.least(F.lit(15.0), F.col("_islands") * 1.5), F.lit(0.0))
+    lone_pen = F.least(F.lit(15.0), F.coalesce(F.col("_islands") * 1.5, F.lit(0.0)))
     one = lambda c: F.format_string("%.1f", c)
     ledger = F.array_compact(
         F.array(

@@ -60,14 +60,15 @@ def glob_to_regex(pattern: str) -> str:
     out, i = "", 0
     while i < len(pattern):
         c = pattern[i]
-        end = pattern.find("]", i + 2) if c == "[" else -1
+        first = i + 1 + (pattern[i + 1 : i + 2] == "!")
+        end = pattern.find("]", first + (pattern[first : first + 1] == "]")) if c == "[" else -1
         if c == "*":
             out += ".*"
         elif c == "?":
             out += "."
         elif end > 0:
-            body = pattern[i + 1 : end].replace("\\", "\\\\")
-            out, i = out + "[" + ("^" + body[1:] if body[0] == "!" else body) + "]", end
+            members = "".join(c if c.isalnum() or c == "-" else "\\" + c for c in pattern[first:end])
+            out, i = f"{out}[{'^' if first > i + 1 else ''}{members}]", end
         else:
             out += re.escape(c)
         i += 1
@@ -127,7 +128,7 @@ def architecture_score(modules: DataFrame) -> DataFrame:
     god = god_modules(modules).groupBy("project_id").agg(F.count("*").alias("god"), F.max(F.when(F.col("place") == 1, F.col("share"))).alias("_share"))
     base = modules.groupBy("project_id").agg(F.count_if(F.col("max_depth") > MAX_DEPTH).alias("deep")).withColumnRenamed("project_id", "_p")
     both = base.join(god, F.col("_p").eqNullSafe(F.col("project_id")), "left")
-    god_pen = F.coalesce(F.least(F.lit(35.0), F.col("god") * 15 + (F.col("_share") - 0.4) * 30), F.lit(0.0))
+    god_pen = F.least(F.lit(35.0), F.coalesce(F.col("god") * 15 + (F.col("_share") - 0.4) * 30, F.lit(0.0)))
     deep_pen = F.least(F.lit(15.0), F.col("deep") * 5.0)
     return both.select(F.col("_p").alias("project_id"), F.coalesce("god", F.lit(0)).alias("god"), "deep", rounded(F.greatest(F.lit(0.0), 100 - god_pen - deep_pen), 1).alias("score"))
 

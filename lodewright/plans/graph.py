@@ -99,7 +99,7 @@ ORACLE = {
 select *, case when ca >= 10 then 'high' else 'medium' end as severity from (
   select *, row_number() over (partition by project_id order by distance desc, module) as place from coupled where distance > 0.5 and ca >= 3) where place <= 10""",
     "coupling_score": f"""with {_EDGES}, {_DEGREES}, {_COUPLED}
-select project_id, cast(round(cast(greatest(0, 100 - coalesce(least(35.0::double, n * 5 + (t - 0.5::double) * 30), 0)) as decimal(38, 12)), 1) as double) as score,
+select project_id, cast(round(cast(greatest(0, 100 - least(35.0::double, coalesce(n * 5 + (t - 0.5::double) * 30, 0))) as decimal(38, 12)), 1) as double) as score,
        cast(round(cast(m as decimal(38, 12)), 3) as double) as avg_instability
 from (select project_id, avg(instability) as m from coupled group by all)
 left join (select project_id, count(*) as n, max(distance) as t from coupled where distance > 0.5 and ca >= 3 group by all) using (project_id)""",

@@ -101,9 +101,9 @@ from (select project_id, count(*) filter (age <= 90) as recent, count(*) filter
     "git_score": f"""
 with {_CHANGED}, {_HOT}, {_AUTHORED}, {_BUS}, {_ISLANDS},
 pen as (
-  select b.project_id, b.bus_factor, t.path, t.composite, i.n as islands, coalesce(least(40.0, t.composite * 0.4), 0)::double as hot_pen,
+  select b.project_id, b.bus_factor, t.path, t.composite, i.n as islands, least(40.0, coalesce(t.composite * 0.4, 0))::double as hot_pen,
          (case when bus_factor = 1 then 35 when bus_factor = 2 then 20 when bus_factor <= 4 then 8 else 0 end)::double as bus_pen,
-         coalesce(least(15.0, i.n * 1.5), 0)::double as island_pen
+         least(15.0, coalesce(i.n * 1.5, 0))::double as island_pen
   from bus b left join (select * from hot where place = 1) t using (project_id)
   left join (select project_id, count(*) as n from islands group by all) i using (project_id))
 select project_id, cast(round(cast(greatest(0, 100 - hot_pen - bus_pen - island_pen) as decimal(38, 12)), 1) as double) as score,

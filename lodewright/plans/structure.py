@@ -149,7 +149,7 @@ ORACLE = {
     "arch_imbalance": f"""with {_INV}, {_MODULES}
 select project_id, count(*) as modules, case when count(*) >= 3 then {_NUM.format('max(loc) / greatest(sum(loc) - max(loc), 1)', 4)} else 0 end as imbalance from modules group by all""",
     "arch_score": f"""with {_INV}, {_MODULES}, {_GOD}
-select m.project_id, coalesce(g.god, 0) as god, m.deep, {_NUM.format('greatest(0, 100 - coalesce(least(35.0::double, g.god * 15 + (g.s - 0.4::double) * 30), 0) - least(15, m.deep * 5))', 1)} as score
+select m.project_id, coalesce(g.god, 0) as god, m.deep, {_NUM.format('greatest(0, 100 - least(35.0::double, coalesce(g.god * 15 + (g.s - 0.4::double) * 30, 0)) - least(15, m.deep * 5))', 1)} as score
 from (select project_id, count(*) filter (max_depth > 4) as deep from modules group by all) m
 left join (select project_id, count(*) as god, max(case when place = 1 then share end) as s from god group by all) g on m.project_id is not distinct from g.project_id""",
     "lang_rollup": f"with {_INV} select project_id, language, count(*) as files, cast(sum(loc) as bigint) as loc, cast(sum(size_bytes) as bigint) as size_bytes from inv group by all",
