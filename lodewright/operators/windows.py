@@ -59,7 +59,7 @@ def global_rank(rows: DataFrame, value: str, name: str = "place") -> DataFrame:
 
 
 def bursts(events: DataFrame, key: list[str], time: str, gap: str = "2 seconds") -> DataFrame:
-    """key, starts_at, ends_at, n: events of a key with less than a gap between them make one burst, which ends one gap after its last."""
+    """key, starts_at, ends_at, n: events of a key with at most a gap between them make one burst, which ends one gap after its last."""
     return events.groupBy(*key, F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n")).select(*key, F.col("w.start").alias("starts_at"), F.col("w.end").alias("ends_at"), "n")
 
 

@@ -200,7 +200,7 @@ from lineitem where l_shipdate <= timestamp '1998-09-02' group by all""",
     "having_weighted_delta": f"""with {_METRICS} select file, count(*) as n, {_R.format("sum(cast(value * case when metric = 'purchase' then 2.0::double else 1.0::double end as decimal(18, 6)))", 3)} as weighted
 from m group by all having count(*) >= 50 and weighted > 100""",
     "debounce_bursts": f"""with {_METRICS},
-marked as (select *, case when at_ - lag(at_) over (partition by file order by at_) < interval 6 hour then 0 else 1 end as fresh from m),
+marked as (select *, case when at_ - lag(at_) over (partition by file order by at_) <= interval 6 hour then 0 else 1 end as fresh from m),
 numbered as (select *, sum(fresh) over (partition by file order by at_ rows unbounded preceding) as k from marked)
 select file, epoch_us(min(at_)) as starts_at, epoch_us(max(at_) + interval 6 hour) as ends_at, count(*) as n from numbered group by file, k""",
     "rate_limit_hits": f"""with {_METRICS} select event_id, hits, hits > 3 as rejected from (

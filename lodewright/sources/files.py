@@ -38,7 +38,7 @@ def read_tree(spark: SparkSession, root: str, project_id: int, excluded: tuple[s
 
 def read_records(spark: SparkSession, directory: str, project_id: int) -> DataFrame:
     """project_id, path, text of the Markdown files of a directory of decision records."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(directory)
+    raw = spark.read.option("pathGlobFilter", "*.md").text(directory, wholetext=True)
     return raw.select(F.lit(project_id).cast("long").alias("project_id"), F.element_at(F.split(F.url_decode("_metadata.file_path"), "/"), -1).alias("path"), F.col("value").alias("text"))
 
 
@@ -47,7 +47,7 @@ def read_session_logs(spark: SparkSession, directory: str, max_line: int = MAX_L
 
     A line over max_line characters keeps its place but not its text, and so is unreadable.
     """
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(directory)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(directory, wholetext=True)
     lines = raw.select(F.element_at(F.split(F.url_decode("_metadata.file_path"), "/"), -1).alias("file_name"), F.col("_metadata.file_modification_time").alias("received_at"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
     kept = lines.withColumns({"line_no": F.col("line_no") + 1, "line": F.when(F.length("line") <= max_line, F.col("line")).otherwise(F.lit("\x00"))})
     return kept.select(F.xxhash64("file_name", "line_no").alias("line_id"), F.lit("session_log").alias("feed"), "file_name", "line_no", "line", "received_at")

@@ -26,14 +26,15 @@ def first_per_window(stream: DataFrame, key: list[str], time: str, id_: str, wid
     return windows.select(*key, F.col("w.start").alias("starts_at"), id_)
 
 
-def new_turns(stream: DataFrame, session: list[str], idle: str = "P30D") -> DataFrame:
+def new_turns(stream: DataFrame, session: list[str], idle: str | None = None) -> DataFrame:
     """session, seq, content_hash, action of the turns that are new: past the highest seq of their session so far.
 
     A turn at that very seq with another hash marks a rewritten log: it comes out as rewritten, and the session must be
-    read again. State is one number and one hash for each session, and goes after idling for a while.
+    read again. State is one number and one hash for each session. With idle, a duration like "30 days", it goes after idling so
+    long; such a query never ends by itself.
     """
     schema = ", ".join(f"{c} {dict(stream.dtypes)[c]}" for c in session) + ", seq int, content_hash string, action string"
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -50,7 +51,8 @@ def new_turns(stream: DataFrame, session: list[str], idle: str = "P30D") -> Data
         elif len(at_mark):
             digest = at_mark["content_hash"].iloc[-1]
         state.update((mark, digest))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=[*session, "seq", "content_hash", "action"])
 
-    return stream.groupBy(*session).applyInPandasWithState(step, schema, "mark int, digest string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy(*session).applyInPandasWithState(step, schema, "mark int, digest string", "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
