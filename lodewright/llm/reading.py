@@ -60,7 +60,9 @@ def train(documents: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS,
     """The model of all labels, or of max_labels of them chosen by a hash. Each grader's label counts once."""
     marks = labels.where(F.col("level").between(1, LEVELS) & F.col("doc_id").isNotNull()).select("doc_id", "grader", "level")
     marks = marks.orderBy(F.xxhash64("doc_id", "grader"), "doc_id", "grader").limit(max_labels)
-    marked = documents.select("doc_id", "text").where("text IS NOT NULL").dropDuplicates(["doc_id"]).join(marks.groupBy("doc_id", "level").count(), "doc_id")
+    # The marks are at most max_labels rows, so they go to the documents and only marked documents are moved.
+    marked = documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(marks.groupBy("doc_id", "level").count()), "doc_id")
+    marked = marked.dropDuplicates(["doc_id", "level"])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
