@@ -73,3 +73,39 @@ def consequences(anchors: DataFrame, samples: DataFrame, days: int = WINDOW_DAYS
     )
 
 
+
+
+def counted_in(windows: DataFrame, events: DataFrame, by: str = "project_id") -> DataFrame:
+    """windows (by, window_id, starts_at, ends_at) with n: how many events (by, event_id, at) lie in each, both ends included.
+
+    The events of an entity are numbered by time, and a window's count is the difference of two numbers.
+    """
+    ranks = numbered(events.select(by, "event_id", "at"), by, "at", "event_id").groupBy(by, "at").agg(F.max("_rank").alias("rank"))
+    upto = asof_join(windows, ranks, by=[by], left_time="ends_at", right_time="at", take=["rank"], prefix="hi_")
+    both = asof_join(upto, ranks, by=[by], left_time="starts_at", right_time="at", take=["rank"], inclusive=False, prefix="lo_")
+    n = F.coalesce("hi_rank", F.lit(0)) - F.coalesce("lo_rank", F.lit(0))
+    return both.select(*windows.columns, F.when(F.col("ends_at") >= F.col("starts_at"), n).otherwise(F.lit(0)).alias("n"))
+
+
+def session_consequences(sessions: DataFrame, decisions: DataFrame, samples: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
+    """session_id, project_id, metric, baseline, observed, delta, claim, confounders, confidence.
+
+    sessions has session_id, project_id, started_at and ended_at. The window runs from the start to so many days after the end (the
+    start where there is none); the observation is the last value in it after the start, confounders are the decisions (project_id,
+    decision_id, decided_at) in it.
+    """
+    end = F.coalesce("ended_at", "started_at") + F.make_dt_interval(F.lit(days))
+    spans = sessions.where("started_at IS NOT NULL").select("session_id", "project_id", F.col("started_at").alias("starts_at"), end.alias("ends_at"))
+    finite = samples.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
+    asked = spans.join(finite.select("project_id", "metric").distinct(), "project_id")
+    keys = {"by": ["project_id", "metric"], "right_time": "measured_at", "take": ["value"]}
+    seen = asof_join(asof_join(asked, finite, left_time="starts_at", prefix="base_", **keys), finite, left_time="ends_at", prefix="seen_", **keys)
+    kept = seen.where("base_value IS NOT NULL AND seen_measured_at > starts_at")
+    events = decisions.where("decided_at IS NOT NULL").select("project_id", F.col("decision_id").alias("event_id"), F.col("decided_at").alias("at"))
+    n = counted_in(spans, events).select("session_id", F.col("n").alias("confounders"))
+    delta = F.col("seen_value") - F.col("base_value")
+    quiet = F.abs(delta) < NOISE
+    return kept.join(n, "session_id").select(
+        "session_id", "project_id", "metric", rounded(F.col("base_value"), 3).alias("baseline"), rounded(F.col("seen_value"), 3).alias("observed"), rounded(delta, 3).alias("delta"),
+        F.when(quiet, "none").otherwise("correlation").alias("claim"), "confounders", F.when(quiet, 0.0).otherwise(rounded(F.lit(MAX_CONFIDENCE) / (1 + F.col("confounders")), 3)).alias("confidence"),
+    )

@@ -97,3 +97,17 @@ def ingest(stored: DataFrame, arriving: DataFrame, session: list[str]) -> DataFr
     joined = arriving.join(state.drop("_hash", "_now"), session, "left")
     kept = joined.where(F.col("_mark").isNull() | F.col("_rewritten") | (F.col("seq") > F.col("_mark")))
     return kept.withColumn("action", F.when(F.coalesce("_rewritten", F.lit(False)), "rewritten").otherwise("new")).drop("_mark", "_rewritten")
+
+
+def logs_of_workspace(records: DataFrame, root: str) -> DataFrame:
+    """The records of the log files whose first named working directory is root or lies below it."""
+    first = records.groupBy("file_name").agg(F.min_by("cwd", F.when(F.col("cwd") != "", F.col("line_no"))).alias("_cwd"))
+    plain = root.rstrip("/")
+    mine = first.where((F.col("_cwd") == plain) | F.col("_cwd").startswith(plain + "/")).select("file_name")
+    return records.join(mine, "file_name", "left_semi")
+
+
+def touch_turns(touches: DataFrame, turns: DataFrame, session: list[str], turn_id: str) -> DataFrame:
+    """touches with the id of the turn of the same session and seq, null where that turn is not stored."""
+    ids = turns.groupBy(*session, "seq").agg(F.min(turn_id).alias(turn_id))
+    return touches.drop(turn_id).join(ids, [*session, "seq"], "left")

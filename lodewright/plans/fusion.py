@@ -78,6 +78,13 @@ def consequence_delta(spark, sf_dir):
     return q.consequences(anchors(spark, sf_dir), samples(spark, sf_dir))
 
 
+def session_consequences(spark, sf_dir):
+    """Sessions run from their first to their last touch; the decisions are commits."""
+    spans = table(spark, sf_dir, "session_file_touches").groupBy("session_id", "project_id").agg(F.min("occurred_at").alias("started_at"), F.max("occurred_at").alias("ended_at"))
+    commits = table(spark, sf_dir, "commits").select("project_id", F.col("commit_id").alias("decision_id"), F.col("authored_at").alias("decided_at"))
+    return q.session_consequences(spans, commits, samples(spark, sf_dir))
+
+
 def evidence_by_file(spark, sf_dir):
     return as_micros(e.file_evidence(touches(spark, sf_dir)))
 
@@ -107,7 +114,7 @@ def latest_touch_per_file(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        asof_forward_link, asof_uncommitted, asof_backward_baseline, asof_bounded_observed, asof_last_commit_before_turn, interval_confounders, consequence_delta,
+        asof_forward_link, asof_uncommitted, asof_backward_baseline, asof_bounded_observed, asof_last_commit_before_turn, interval_confounders, consequence_delta, session_consequences,
         evidence_by_file, weighted_risk, max_per_commit, share_split, latest_touch_per_file,
     )
 }
@@ -187,6 +194,19 @@ select anchor_id, project_id, metric, {_R3.format('base_value')} as baseline, {_
        case when abs(seen_value - base_value) < 1 then 'none' else 'correlation' end as claim, confounders,
        case when abs(seen_value - base_value) < 1 then 0 else {_R3.format('0.6 / (1 + confounders)')} end as confidence
 from base join seen using (anchor_id, metric) join conf using (anchor_id) where base_value is not null and seen_value is not null""",
+    "session_consequences": f"""
+with {SAMPLES},
+spans as (select session_id, project_id, min(occurred_at) as a, max(occurred_at) + interval 30 day as b from session_file_touches group by all having min(occurred_at) is not null),
+asked as (select s.*, m.metric from spans s join (select distinct project_id, metric from samples) m using (project_id)),
+base as (select k.session_id, k.metric, arg_max(s.value, s.measured_at) as v from asked k join samples s on s.project_id = k.project_id and s.metric = k.metric
+         and s.measured_at::timestamp <= k.a::timestamp group by all),
+seen as (select k.session_id, k.metric, arg_max(s.value, s.measured_at) as v from asked k join samples s on s.project_id = k.project_id and s.metric = k.metric
+         and s.measured_at::timestamp > k.a::timestamp and s.measured_at::timestamp <= k.b::timestamp group by all),
+conf as (select s.session_id, count(c.commit_id) as n from spans s left join commits c on c.project_id = s.project_id and c.authored_at between s.a and s.b group by all)
+select k.session_id, k.project_id, k.metric, {_R3.format('base.v')} as baseline, {_R3.format('seen.v')} as observed, {_R3.format('seen.v - base.v')} as delta,
+       case when abs(seen.v - base.v) < 1 then 'none' else 'correlation' end as claim, n as confounders,
+       case when abs(seen.v - base.v) < 1 then 0 else {_R3.format('0.6 / (1 + n)')} end as confidence
+from asked k join base using (session_id, metric) join seen using (session_id, metric) join conf using (session_id)""",
     "evidence_by_file": f"with {TOUCHES}, {EVIDENCE} select * replace (epoch_us(last_write) as last_write) from evidence",
     "weighted_risk": f"""with {TOUCHES}, {EVIDENCE}, {RISKS}
 select project_id, file_path, base_risk, coalesce(writes, 0) as writes, coalesce(reads, 0) as reads, coalesce(deletes, 0) as deletes, coalesce(sessions, 0) as sessions,
