@@ -48,40 +48,35 @@ def asof_join(
     for c in by:
         known = known & F.col(c).isNotNull()
     right_rows = right.where(known & F.col(right_time).isNotNull())
-    # One right row for each entity and time: the first of its ties.
+    # One right row for each entity and time: the first of its ties. The hash of the entity, never null, is what rows are dealt by.
+    hashed = F.xxhash64(*by).alias("_key")
     first = F.min_by(packed, F.struct(*ties, *[F.col(c) for c in names]))
-    points = right_rows.groupBy(*by, us(right_time).alias("_us")).agg(first.alias("_take")).withColumn("_bucket", _bucket(F.col("_us"), bucket_us))
-    ends = points.groupBy(*by, "_bucket").agg(F.max_by("_take", "_us").alias("_end"))
+    points = right_rows.groupBy(*by, us(right_time).alias("_us")).agg(first.alias("_take")).select("*", hashed, _bucket(F.col("_us"), bucket_us).alias("_bucket"))
+    ends = points.groupBy("_key", *by, "_bucket").agg(F.max_by("_take", "_us").alias("_end"))
     lefts = left.select(F.struct(*[F.col(c) for c in left.columns]).alias("_row"), *by, us(left_time).alias("_us"))
-    lefts = lefts.withColumn("_bucket", _bucket(F.col("_us"), bucket_us))
+    lefts = lefts.select("*", hashed, _bucket(F.col("_us"), bucket_us).alias("_bucket"))
 
     # What each bucket of left rows gets from earlier buckets.
-    needed = lefts.select(*by, "_bucket").distinct().withColumn("_end", F.lit(None).cast(ends.schema["_end"].dataType))
+    needed = lefts.where("_bucket IS NOT NULL").select("_key", *by, "_bucket").distinct().withColumn("_end", F.lit(None).cast(ends.schema["_end"].dataType))
     steps = ends.withColumn("_rank", F.lit(1)).unionByName(needed.withColumn("_rank", F.lit(0)))
-    over = Window.partitionBy(*by).orderBy("_bucket", "_rank").rowsBetween(Window.unboundedPreceding, -1)
-    carried = steps.withColumn("_carried", F.last("_end", ignorenulls=True).over(over)).where("_rank = 0").drop("_end", "_rank")
+    over = Window.partitionBy("_key", *by).orderBy("_bucket", "_rank").rowsBetween(Window.unboundedPreceding, -1)
+    carried = steps.withColumn("_carried", F.last("_end", ignorenulls=True).over(over)).where("_rank = 0 AND _carried IS NOT NULL")
+    carried = carried.select("_key", "_bucket", "_carried", *[F.col(c).alias(f"_c{i}") for i, c in enumerate(by)])
 
     # Within the bucket. At equal times right rows come before left ones if they match them, else after.
     side = 1 if inclusive else -1
-    both = points.select(*by, "_bucket", "_us", "_take", F.lit(0).alias("_side"), F.lit(None).cast(lefts.schema["_row"].dataType).alias("_row")).unionByName(
-        lefts.select(*by, "_bucket", "_us", F.lit(None).cast(points.schema["_take"].dataType).alias("_take"), F.lit(side).alias("_side"), "_row")
+    common = ["_key", *by, "_bucket", "_us"]
+    both = points.select(*common, "_take", F.lit(0).alias("_side"), F.lit(None).cast(lefts.schema["_row"].dataType).alias("_row")).unionByName(
+        lefts.select(*common, F.lit(None).cast(points.schema["_take"].dataType).alias("_take"), F.lit(side).alias("_side"), "_row")
     )
-    inside = Window.partitionBy(*by, "_bucket").orderBy("_us", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = both.withColumn("_found", F.last("_take", ignorenulls=True).over(inside)).where("_side <> 0")
-    keys = [*by, "_bucket"]
-    joined = found.join(carried.withColumnsRenamed({c: f"_c{i}" for i, c in enumerate(keys)}), _same(found, keys), "left")
-    known_left = F.col("_us").isNotNull()
-    for c in by:
-        known_left = known_left & F.col(c).isNotNull()
-    pick = F.when(known_left, F.coalesce("_found", "_carried"))
-    return joined.select("_row.*", pick.alias("_pick")).select("*", "_pick.*").drop("_pick")
-
-
-def _same(found: DataFrame, keys: list[str]) -> Column:
-    out = F.lit(True)
-    for i, c in enumerate(keys):
-        out = out & (found[c].eqNullSafe(F.col(f"_c{i}")))
-    return out
+    # Dealt once for the window and for the join with what is carried over.
+    inside = Window.partitionBy("_key", *by, "_bucket").orderBy("_us", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.repartition("_key", "_bucket").withColumn("_found", F.last("_take", ignorenulls=True).over(inside)).where("_side <> 0")
+    same = (found["_key"] == carried["_key"]) & (found["_bucket"] == carried["_bucket"])
+    for i, c in enumerate(by):
+        same = same & (found[c] == F.col(f"_c{i}"))
+    joined = found.join(carried, same, "left")
+    return joined.select("_row.*", F.coalesce("_found", "_carried").alias("_pick")).select("*", "_pick.*").drop("_pick")
 
 
 def within(matched: Column, anchor: Column, days: int) -> Column:

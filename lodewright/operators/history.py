@@ -25,7 +25,8 @@ def author_key() -> Column:
 
 def changes(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
     """project_id, path, commit_id, author, at, churn: one row for each file of each commit."""
-    files = commit_files.select("commit_id", "project_id", "path", "added", "removed").distinct()
+    # Dealt by commit first: removing repeats and joining the commits then need no further exchange.
+    files = commit_files.select("commit_id", "project_id", "path", "added", "removed").repartition("commit_id").distinct()
     who = commits.select("commit_id", author_key().alias("author"), F.col("authored_at").alias("at"))
     churn = F.coalesce("added", F.lit(0)).cast("long") + F.coalesce("removed", F.lit(0))
     return files.join(who, "commit_id").select("project_id", "path", "commit_id", "author", "at", churn.alias("churn"))
