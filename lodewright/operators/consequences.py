@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lodewright.functions.scores import rounded
 from lodewright.operators.asof import asof_join, numbered
 
+# The window, the highest confidence, the move that counts as noise, and how many confounders are listed.
 WINDOW_DAYS, MAX_CONFIDENCE, NOISE, LISTED = 30, 0.6, 1.0, 50
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodewright.functions.text import ADR_NUMBER, ADR_REFERENCE, SHA_CITED, adr_fields, body, subject
 
+# Confidence by kind of source, and the shortest citation of a sha.
 ADR_CONFIDENCE, WITH_BODY, SUBJECT_ONLY = 0.95, 0.6, 0.3
 SHORTEST_CITATION = 7
 

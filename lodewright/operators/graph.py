@@ -16,6 +16,7 @@ from lodewright.functions.paths import base_name
 from lodewright.functions.scores import guarded_ratio, rounded
 from lodewright.session import cut_lineage
 
+# Patterns of imports, and the endings tried for a script's name.
 PYTHON_IMPORT = r"(?m)^\s*(?:from\s+([.\w]+)\s+import|import\s+([.\w]+))"
 JS_IMPORT = r"""(?m)(?:^\s*import\s+.*?from\s+['"]([^'"]+)['"]|^\s*import\s+['"]([^'"]+)['"]|require\(\s*['"]([^'"]+)['"]\s*\))"""
 JS_ENDINGS = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", "/index.ts", "/index.js"]

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from lodewright.functions.scores import rounded
 
+# Thresholds of hotspots, the bus factor and islands.
 TOP_HOTSPOTS, MIN_COMMITS, MIN_CHURN = 10, 3, 50
 BUS_SHARE = 0.8
 ISLAND_COMMITS, TOP_ISLANDS = 5, 10

@@ -18,6 +18,13 @@ SEVERITIES = ("critical", "high", "medium", "low", "info")
 SARIF_LEVELS = {"critical": "error", "high": "error", "medium": "warning", "low": "note", "info": "note"}
 CODE_QUALITY = {"critical": "blocker", "high": "critical", "medium": "major", "low": "minor", "info": "info"}
 NOISE = 1.0
+# The wording of explanations.
+NO_EVIDENCE = "no fusion evidence — not touched by a recorded agent session."
+NO_HUMAN = "no human share claimed"
+NO_SHARE = "); a line-share has not been computed."
+UNDER_AGENTS = " of that risk sits under agent-modified code — correlation, not blame."
+NO_CHANGE = "no discernible change"
+NOT_CAUSE = " — correlation, not causation."
 
 
 def _lookup(table: dict, key: Column) -> Column:
@@ -159,13 +166,13 @@ def explain(files: DataFrame, decisions: DataFrame, moves: DataFrame) -> DataFra
     """
     named = decisions.groupBy("project_id", "file_path").agg(F.sort_array(F.collect_set(F.struct("decision_id", F.col("summary").alias("s")))).alias("_d"))
     moved = decisions.select("project_id", "file_path", "decision_id").distinct().join(moves.where("delta IS NOT NULL"), "decision_id")
-    phrase = F.when(F.col("claim") == "none", "no discernible change").otherwise(F.format_string("%s %+.3f (%s)", "metric", "delta", "claim"))
+    phrase = F.when(F.col("claim") == "none", NO_CHANGE).otherwise(F.format_string("%s %+.3f (%s)", "metric", "delta", "claim"))
     then = moved.groupBy("project_id", "file_path").agg(
         F.sort_array(F.collect_list(F.struct("decision_id", "metric", phrase.alias("p")))).alias("_m"), F.max(F.col("claim") != "none").alias("_any")
     )
     all_ = files.join(named, ["project_id", "file_path"], "left").join(then, ["project_id", "file_path"], "left")
     wrote = F.coalesce(F.col("strength"), F.lit(0.0)) > 0
-    human = F.when(F.col("human") > 0, F.concat(_whole(F.col("human")), F.lit("% human"))).otherwise(F.lit("no human share claimed"))
+    human = F.when(F.col("human") > 0, F.concat(_whole(F.col("human")), F.lit("% human"))).otherwise(F.lit(NO_HUMAN))
     share = F.concat(
         _whole(F.col("ai")), F.lit("% of its current lines are AI-authored ("), _whole(F.col("unattributed")), F.lit("% unattributed, "), human, F.lit("), at confidence "), F.format_string("%.2f", "share_confidence"), F.lit(".")
     )
@@ -176,13 +183,13 @@ def explain(files: DataFrame, decisions: DataFrame, moves: DataFrame) -> DataFra
         F.array(
             factor("risk", F.col("base_risk").isNotNull(), F.concat(F.lit("risk "), _whole(F.col("base_risk")), F.lit("/100."))),
             factor("ai_authorship", F.col("ai").isNotNull(), share),
-            factor("ai_evidence", F.col("ai").isNull() & wrote, F.concat(F.lit("an agent has write evidence on it (strength "), F.format_string("%.2f", "strength"), F.lit("); a line-share has not been computed."))),
-            factor("weighted_risk", F.col("base_risk").isNotNull() & wrote & (F.round(F.col("weighted_risk").cast("decimal(38,12)"), 0) > 0), F.concat(F.lit("about "), _whole(F.col("weighted_risk")), F.lit(" of that risk sits under agent-modified code — correlation, not blame."))),
+            factor("ai_evidence", F.col("ai").isNull() & wrote, F.concat(F.lit("an agent has write evidence on it (strength "), F.format_string("%.2f", "strength"), F.lit(NO_SHARE))),
+            factor("weighted_risk", F.col("base_risk").isNotNull() & wrote & (F.round(F.col("weighted_risk").cast("decimal(38,12)"), 0) > 0), F.concat(F.lit("about "), _whole(F.col("weighted_risk")), F.lit(UNDER_AGENTS))),
             factor("sessions", F.coalesce("sessions", F.lit(0)) > 0, F.concat(F.lit("Traced to "), F.col("sessions").cast("string"), F.when(F.col("sessions") == 1, " agent session (").otherwise(" agent sessions ("), F.col("writes").cast("string"), F.lit(" write, "), F.col("reads").cast("string"), F.lit(" read)."))),
             factor("decisions", n > 0, F.concat(n.cast("string"), F.lit(" decision(s) touch it: "), names, F.when(n > 3, F.concat(F.lit(", and "), (n - 3).cast("string"), F.lit(" more"))).otherwise(""), F.lit("."))),
-            factor("consequences", F.size("_m") > 0, F.concat(F.lit("Since then: "), F.array_join(F.transform("_m", lambda x: x["p"]), ", "), F.when(F.col("_any"), " — correlation, not causation.").otherwise("."))),
+            factor("consequences", F.size("_m") > 0, F.concat(F.lit("Since then: "), F.array_join(F.transform("_m", lambda x: x["p"]), ", "), F.when(F.col("_any"), NOT_CAUSE).otherwise("."))),
         )
     )
     out = all_.withColumn("factors", factors)
-    prose = F.when(F.size("factors") > 0, F.array_join(F.transform("factors", lambda f: f["statement"]), " ")).otherwise("no fusion evidence — not touched by a recorded agent session.")
+    prose = F.when(F.size("factors") > 0, F.array_join(F.transform("factors", lambda f: f["statement"]), " ")).otherwise(NO_EVIDENCE)
     return out.select("project_id", "file_path", "factors", F.concat(clean_text(F.col("file_path")), F.lit(": "), prose).alias("prose"))

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# The record types that are turns.
 TURN_TYPES = ("user", "assistant")
 # What each file tool does to a file.
 TOOL_KINDS = {"Write": "write", "Edit": "write", "Read": "read"}
+# Confidence of a call by its outcome.
 CONFIRMED, UNCONFIRMED = 0.9, 0.5
 CONTENT = "array<struct<type:string,id:string,name:string,text:string,tool_use_id:string,is_error:boolean,input:struct<file_path:string>>>"
 RECORD = f"struct<type:string,sessionId:string,cwd:string,timestamp:string,message:struct<role:string,content:{CONTENT}>>"

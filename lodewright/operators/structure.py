@@ -28,6 +28,7 @@ MARKERS = {
     "todo": (r"\bTODO\b", 1.0), "fixme": (r"\bFIXME\b", 2.0), "hack": (r"\bHACK\b", 1.5), "xxx": (r"\bXXX\b", 1.2), "bug": (r"\bBUG\b", 1.0),
     "deprecated": (r"(?i)\bDEPRECATED\b", 1.8), "noqa": (r"(?i)\bnoqa\b", 0.5),
 }
+# The first line of a generated file, comment lines, and the thresholds of findings.
 GENERATED = r"^(?i:#|//|/\*).*(?i:auto[-_]?generated)"
 COMMENTS = (r"(?md)^\s*#.*$", r"(?md)^\s*//.*$")
 GOD_LOC, GOD_SHARE, MAX_DEPTH, LONG_FILE, VERY_LONG_FILE = 5000, 0.5, 4, 500, 1500
