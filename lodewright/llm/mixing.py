@@ -26,8 +26,8 @@ def same_source(source: Column) -> Column:
     return F.regexp_replace(F.lower(source), r"\s+", "")
 
 
-def rake(cells: pd.DataFrame, shares: dict[str, float], max_repeats: float, total: float | None = None, rounds: int = 60) -> np.ndarray:
-    """Token weights of cells (columns source, lang, topic, tokens) under the cap of max_repeats times their tokens.
+def rake(cells: pd.DataFrame, shares: dict[str, float], max_repeats: float | np.ndarray, total: float | None = None, rounds: int = 60) -> np.ndarray:
+    """Token weights of cells (columns source, lang, topic, tokens) under the cap of max_repeats (one for all or one for each cell) times their tokens.
 
     Sources meet their shares exactly where they hold enough; total is the largest at which all do, unless a
     smaller one is given. Languages and topics come as near to their shares in these sources as the caps allow.
@@ -36,9 +36,10 @@ def rake(cells: pd.DataFrame, shares: dict[str, float], max_repeats: float, tota
     codes = {c: pd.factorize(cells[c])[0] for c in ("source", "lang", "topic")}
     share = np.array([shares[s] for s in cells["source"].drop_duplicates()])
     by_source = np.bincount(codes["source"], tokens, minlength=len(share))
-    most = float(np.min(max_repeats * by_source[share > 0] / share[share > 0])) if (share > 0).any() else 0.0
-    total = most if total is None else min(total, most)
     cap = max_repeats * tokens
+    cap_by_source = np.bincount(codes["source"], cap, minlength=len(share))
+    most = float(np.min(cap_by_source[share > 0] / share[share > 0])) if (share > 0).any() else 0.0
+    total = most if total is None else min(total, most)
     weight = tokens * (share * total / np.maximum(by_source, 1))[codes["source"]]
 
     def to_source(w: np.ndarray) -> np.ndarray:
@@ -93,18 +94,21 @@ def draw(sized: DataFrame, targets: DataFrame, mix: str, key: str = "doc_id", to
     """mix_name, key, source, n_tokens, repeats of the documents chosen for one mix of targets.
 
     Documents of sources outside the mix, without a source or without tokens are not used. A source of the mix
-    without documents is left out, and the shares of the others are scaled up. The draw depends on the keys only.
+    without documents is left out, and the shares of the others are scaled up. Where a source is listed twice its shares add up and
+    the smaller cap holds. The draw depends on the keys only.
     """
     wanted = [r for r in targets.where(F.col("mix_name") == mix).select(same_source(F.col("source")).alias("source"), "target_share", "max_repeats").collect() if r.target_share > 0]
     shares: dict[str, float] = {}
+    repeats: dict[str, int] = {}
     for r in wanted:
         shares[r.source] = shares.get(r.source, 0.0) + r.target_share
-    repeats = max([r.max_repeats for r in wanted], default=0)
+        repeats[r.source] = min(repeats.get(r.source, r.max_repeats), r.max_repeats)
     inside = sized.where(F.col("source").isin([*shares]) & (F.col("n_tokens") > 0))
     cells = inside.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")).toPandas()
     found = {s: w for s, w in shares.items() if s in set(cells["source"])}
     scale = sum(found.values())
-    cells["rate"] = rake(cells, {s: w / scale for s, w in found.items()}, repeats, total) / cells["tokens"] if len(cells) else 0.0
+    caps = cells["source"].map(repeats).to_numpy(dtype=float)
+    cells["rate"] = rake(cells, {s: w / scale for s, w in found.items()}, caps, total) / cells["tokens"] if len(cells) else 0.0
     spark = sized.sparkSession
     rates = spark.createDataFrame([(r.source, int(r.lang), int(r.topic), float(r.rate)) for r in cells.itertuples()], "source string, lang int, topic int, rate double")
     parts = max(1, -(-int(cells["n"].sum()) // ROWS_PER_PART)) if len(cells) else 1
@@ -119,7 +123,7 @@ def draw(sized: DataFrame, targets: DataFrame, mix: str, key: str = "doc_id", to
         whole = np.floor(rate + 1e-9)
         start = (int(rows["_number"].iloc[0]) % 997 + 0.5) / 997
         extra = systematic(rows["n_tokens"].to_numpy(), np.maximum(rate - whole, 0.0), start)
-        rows["repeats"] = np.minimum(whole + extra, repeats).astype(np.int32)
+        rows["repeats"] = np.minimum(whole + extra, repeats[rows["source"].iloc[0]]).astype(np.int32)
         return rows.loc[rows["repeats"] > 0, ["key", "source", "n_tokens", "repeats"]]
 
     drawn = dealt.groupBy("source", "_part").applyInPandas(choose, f"key {dict(sized.dtypes)[key]}, source string, n_tokens long, repeats int")

@@ -66,3 +66,12 @@ def test_hot_source_is_cut_into_parts(spark, monkeypatch):
     sized = mixing.sizes(spark.createDataFrame(rows, SCHEMA), F.col("n"))
     shares = {r.source: r.share for r in mixing.shares_reached(mixing.draw_all(sized, targets), targets).collect()}
     assert shares["a"] == pytest.approx(0.2, abs=0.02)
+
+
+def test_caps_differ_by_source(spark):
+    rows = [(i, "ab"[i % 2], "en", "x/p-1", 10, None) for i in range(40)]
+    targets = spark.createDataFrame([("m", "a", 0.5, 1), ("m", "b", 0.25, 4), ("m", "b", 0.25, 3)], "mix_name string, source string, target_share double, max_repeats int")
+    got = mixing.draw(mixing.sizes(spark.createDataFrame(rows, SCHEMA), F.col("n")), targets, "m").collect()
+    assert {(r.source, r.repeats) for r in got} == {("a", 1), ("b", 1)} and len(got) == 40
+    lone = targets.where("source = 'b'")
+    assert {r.repeats for r in mixing.draw(mixing.sizes(spark.createDataFrame(rows, SCHEMA), F.col("n")), lone, "m").collect()} == {3}
