@@ -10,11 +10,11 @@ texts (train_pii.py) and kept beside this file.
 from __future__ import annotations
 
 import json
+import pkgutil
 import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -378,7 +378,7 @@ def candidates(text: str) -> list[tuple]:
 
 @cache
 def weights() -> dict[str, float]:
-    return json.loads(Path(__file__).with_name("pii_weights.json").read_text())
+    return json.loads(pkgutil.get_data(__package__, "pii_weights.json"))
 
 
 def mentions(text: str, w: dict[str, float] | None = None) -> list[tuple[int, int, str]]:
