@@ -45,21 +45,32 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares_reached(*_mixed(spark, sf_dir))
 
 
+def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The documents of the graders' language, and their labels."""
+    return table(spark, sf_dir, "documents").where("lang = 'en'"), table(spark, sf_dir, "reading_labels")
+
+
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
-    return reading.estimate(docs, reading.train(docs, table(spark, sf_dir, "reading_labels")))
+    """Every document. Labels are for English only; documents in other languages are judged by models seeded by formula, those of unknown language by the model that knows most of their words."""
+    english, labels = _labelled(spark, sf_dir)
+    others = table(spark, sf_dir, "documents").where(~F.col("lang").eqNullSafe("en"))
+    model = reading.train(english, labels)
+    seeded = reading.seed(others, reading.lix_of_levels(english, labels))
+    return reading.estimate(english, model).unionByName(reading.estimate(others, model, others=seeded))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _levels(spark, sf_dir).where("level = 5").select("doc_id")
+    english, labels = _labelled(spark, sf_dir)
+    return reading.estimate(english, reading.train(english, labels)).where("level = 5").select("doc_id")
 
 
 def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The level of every document, null where no word of its prose is known."""
     return _levels(spark, sf_dir).select("doc_id", "level", "level_margin")
 
 
 def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many English documents of each source are of each level."""
+    """How many documents of each source are of each level."""
     return _levels(spark, sf_dir).groupBy(mixing.same_source(F.col("source")).alias("source"), "level").agg(F.count("*").alias("documents"))
 
 

@@ -58,3 +58,25 @@ def test_token_counts(spark):
     got = [r[0] for r in spark.createDataFrame(rows, "t string").select(token_count("t")).collect()]
     encode = encoding("/opt/tokenizers/byte_bpe_50k.tiktoken").encode_ordinary
     assert got == [len(encode(t)) if t else 0 for (t,) in rows]
+
+
+def test_lix():
+    assert reading.lix("# Heading\n\nThe dog ran. It barked!\n\n```\nx y\n```") == 2.5
+    assert reading.lix("Notwithstanding all. So be it.") == 5 / 2 + 100 / 5
+    assert reading.lix("# Head") is None
+
+
+def test_every_document_has_a_row(spark, monkeypatch):
+    from lodewright.llm import queries
+
+    plain, dense = "The dog ran. We cut the key. It is old.", "Notwithstanding idiosyncratic commensurability, the concomitant indeterminacy presupposes epistemological ramifications."
+    easy, hard = "Die Liste ist neu. Wir lesen die Karte.", "Die Nachvollziehbarkeit der Entscheidungsgrundlagen unter Nebenläufigkeit ist entbehrlich, sofern Urheberschaftsanteile zuordenbar bleiben."
+    rows = [(i, (plain, dense)[i % 2], "en", "s") for i in range(10)] + [(20 + i, (easy, hard)[i % 2], "de", "s") for i in range(8)]
+    rows += [(40, hard, None, "s"), (41, None, "de", "s"), (42, "# x", "es", None), (43, plain, None, None)]
+    whole = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, "g", (1, 5)[i % 2]) for i in range(4)], "doc_id long, grader string, level int")
+    monkeypatch.setattr(queries, "table", lambda spark, sf_dir, name: {"documents": whole, "reading_labels": labels}[name])
+    got = {r.doc_id: r.level for r in queries.p8_levels(spark, "").collect()}
+    assert got == {r[0]: None if r[0] in (41, 42) else 5 if r[1] in (dense, hard) else 1 for r in rows}
+    assert sum(r.documents for r in queries.p8_profile(spark, "").collect()) == len(rows)
+    assert {r.doc_id for r in queries.p8_found(spark, "").collect()} == {1, 3, 5, 7, 9}
