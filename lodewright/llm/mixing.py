@@ -5,6 +5,10 @@ marginals: the sources' target shares, and the shares that languages and topics
 the cap on repeats leaves room. A cell's weight over its tokens is the expected number of uses of each of its
 documents; whole uses are given, the remaining fraction is drawn by systematic sampling in order of size, which
 carries the tokens owed from one document to the next, so that the drawn tokens stay close to their expectation.
+
+Cells are those of the actual languages and topics. Where they are too many for the driver, the rarer topics are
+raked there in classes, and then each class by itself in a task, from its weights of source and language down to
+the topics it holds, so that every topic still has a marginal of its own.
 """
 
 from __future__ import annotations
@@ -16,8 +20,8 @@ from pyspark.sql import functions as F
 
 from lodewright.session import cut_lineage
 
-#: Languages and topics are told apart up to so many classes, which bounds the table of cells.
-LANGUAGES, TOPICS = 16, 32
+#: The most cells raked in one place, and the topics that are raked one by one on the driver where there are more.
+MAX_CELLS, HEAD_TOPICS = 100_000, 256
 ROWS_PER_PART = 50_000
 
 
@@ -66,12 +70,12 @@ def rake(cells: pd.DataFrame, shares: dict[str, float], max_repeats: float | np.
 def sizes(documents: DataFrame, n_tokens: Column, key: str = "doc_id") -> DataFrame:
     """key, source, lang, topic, n_tokens of each document, written once because every mix reads it twice.
 
-    The topic is the word that the document's path names after its directory.
+    The topic is the word that the document's path names after its directory. An unknown language or topic is empty.
     """
     topic = F.regexp_extract("doc_path", r"/([A-Za-z]+)", 1)
     rows = documents.select(
-        F.col(key), same_source(F.col("source")).alias("source"), F.pmod(F.hash(F.lower("lang")), F.lit(LANGUAGES)).alias("lang"),
-        F.pmod(F.hash(topic), F.lit(TOPICS)).alias("topic"), n_tokens.alias("n_tokens"),
+        F.col(key), same_source(F.col("source")).alias("source"), F.coalesce(F.lower("lang"), F.lit("")).alias("lang"),
+        F.coalesce(topic, F.lit("")).alias("topic"), n_tokens.alias("n_tokens"),
     )
     return cut_lineage(rows)
 
@@ -90,6 +94,36 @@ def systematic(tokens: np.ndarray, chance: np.ndarray, start: float) -> np.ndarr
     return taken
 
 
+def _rates_of_classes(cells: DataFrame, shares: dict[str, float], repeats: dict[str, int], total: float | None) -> DataFrame:
+    """source, lang, topic, rate of any number of cells."""
+    spark = cells.sparkSession
+    cells = cut_lineage(cells)
+    classes = -(-cells.count() // MAX_CELLS)
+    head = cells.groupBy("topic").agg(F.sum("tokens").alias("_of_topic")).orderBy(F.desc("_of_topic"), "topic").limit(HEAD_TOPICS)
+    tail = F.when(F.col("_of_topic").isNull(), F.pmod(F.xxhash64("topic"), F.lit(classes)))
+    classed = cells.join(head, "topic", "left").withColumn("tail", F.coalesce(tail, F.lit(-1)))
+    coarse = classed.groupBy("source", "lang", "tail", F.when(F.col("tail") < 0, F.col("topic")).alias("name")).agg(F.sum("tokens").alias("tokens")).toPandas()
+    coarse["topic"] = [*zip(coarse["tail"], coarse["name"].fillna(""))]
+    coarse["weight"] = rake(coarse, shares, coarse["source"].map(repeats).to_numpy(dtype=float), total)
+    rows = [(r.source, r.lang, int(r.tail), r.name_, float(r.weight), float(r.weight / r.tokens)) for r in coarse.rename(columns={"name": "name_"}).itertuples()]
+    weights = spark.createDataFrame(rows, "source string, lang string, tail long, topic string, weight double, rate double")
+
+    def within(rows: pd.DataFrame) -> pd.DataFrame:
+        weight = rows.groupby(["source", "lang"])["weight"].first()
+        pair = pd.Series([*zip(rows["source"], rows["lang"])], index=rows.index)
+        inner = pd.DataFrame({"source": pair, "lang": 0, "topic": rows["topic"], "tokens": rows["tokens"]})
+        whole = float(weight.sum())
+        if whole > 0:
+            inner["rate"] = rake(inner, {k: w / whole for k, w in weight.items()}, rows["source"].map(repeats).to_numpy(dtype=float), whole) / rows["tokens"]
+        else:
+            inner["rate"] = 0.0
+        return rows[["source", "lang", "topic"]].assign(rate=inner["rate"])
+
+    rare = classed.where("tail >= 0").join(weights.where("tail >= 0").select("source", "lang", "tail", "weight"), ["source", "lang", "tail"])
+    fitted = rare.groupBy("tail").applyInPandas(within, "source string, lang string, topic string, rate double")
+    return weights.where("tail < 0").select("source", "lang", "topic", "rate").unionByName(fitted)
+
+
 def draw(sized: DataFrame, targets: DataFrame, mix: str, key: str = "doc_id", total: float | None = None) -> DataFrame:
     """mix_name, key, source, n_tokens, repeats of the documents chosen for one mix of targets.
 
@@ -104,14 +138,21 @@ def draw(sized: DataFrame, targets: DataFrame, mix: str, key: str = "doc_id", to
         shares[r.source] = shares.get(r.source, 0.0) + r.target_share
         repeats[r.source] = min(repeats.get(r.source, r.max_repeats), r.max_repeats)
     inside = sized.where(F.col("source").isin([*shares]) & (F.col("n_tokens") > 0))
-    cells = inside.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")).toPandas()
-    found = {s: w for s, w in shares.items() if s in set(cells["source"])}
+    by_cell = inside.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n"))
+    cells = by_cell.limit(MAX_CELLS + 1).toPandas()
+    many = len(cells) > MAX_CELLS
+    held = {r.source: r.n for r in by_cell.groupBy("source").agg(F.sum("n").alias("n")).collect()} if many else cells.groupby("source")["n"].sum().to_dict()
+    found = {s: w for s, w in shares.items() if s in held}
     scale = sum(found.values())
-    caps = cells["source"].map(repeats).to_numpy(dtype=float)
-    cells["rate"] = rake(cells, {s: w / scale for s, w in found.items()}, caps, total) / cells["tokens"] if len(cells) else 0.0
-    spark = sized.sparkSession
-    rates = spark.createDataFrame([(r.source, int(r.lang), int(r.topic), float(r.rate)) for r in cells.itertuples()], "source string, lang int, topic int, rate double")
-    parts = max(1, -(-int(cells["n"].sum()) // ROWS_PER_PART)) if len(cells) else 1
+    found = {s: w / scale for s, w in found.items()}
+    if many:
+        rates = _rates_of_classes(by_cell.drop("n"), found, repeats, total)
+    else:
+        caps = cells["source"].map(repeats).to_numpy(dtype=float)
+        cells["rate"] = rake(cells, found, caps, total) / cells["tokens"] if len(cells) else 0.0
+        rows = [(r.source, r.lang, r.topic, float(r.rate)) for r in cells.itertuples()]
+        rates = sized.sparkSession.createDataFrame(rows, "source string, lang string, topic string, rate double")
+    parts = max(1, -(-int(sum(held.values())) // ROWS_PER_PART))
     number = F.xxhash64(F.lit(mix), F.col(key))
     dealt = inside.join(rates, ["source", "lang", "topic"]).select(
         F.col(key).alias("key"), "source", "n_tokens", "rate", number.alias("_number"), F.pmod(number, F.lit(parts)).alias("_part")

@@ -75,3 +75,33 @@ def test_caps_differ_by_source(spark):
     assert {(r.source, r.repeats) for r in got} == {("a", 1), ("b", 1)} and len(got) == 40
     lone = targets.where("source = 'b'")
     assert {r.repeats for r in mixing.draw(mixing.sizes(spark.createDataFrame(rows, SCHEMA), F.col("n")), lone, "m").collect()} == {3}
+
+
+def by_topic(sized, drawn):
+    rows = drawn.join(sized.select("doc_id", "topic"), "doc_id").groupBy("topic").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("t")).collect()
+    whole = sum(r.t for r in rows)
+    return {r.topic: r.t / whole for r in rows}
+
+
+def test_each_topic_has_its_own_marginal(spark):
+    # ledger and ranker fall into one of 32 classes by hash
+    rows = [(i, "ab"[i % 2], "en", f"x/{('ledger', 'ranker')[(i // 2 % 5 < 4) == i % 2]}-{i}.md", 10, None) for i in range(2000)]
+    targets = spark.createDataFrame([("m", "a", 0.6, 8), ("m", "b", 0.4, 8)], "mix_name string, source string, target_share double, max_repeats int")
+    sized = mixing.sizes(spark.createDataFrame(rows, SCHEMA), F.col("n"))
+    got = by_topic(sized, mixing.draw(sized, targets, "m", total=16_000))
+    assert got["ledger"] == pytest.approx(0.5, abs=0.02) and got["ranker"] == pytest.approx(0.5, abs=0.02)
+
+
+def test_more_cells_than_one_place_holds(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_CELLS", 20)
+    monkeypatch.setattr(mixing, "HEAD_TOPICS", 3)
+    names = [f"t{chr(97 + k)}" for k in range(16)]
+    rows = [(i, "ab"[i % 2], ("en", None)[i // 2 % 2], f"x/{names[(i // 4 * i // 3 + i % 2 * 5) % 16]}-{i}.md", 10 + i % 7, None) for i in range(6000)]
+    targets = spark.createDataFrame([("m", "a", 0.6, 8), ("m", "b", 0.4, 8)], "mix_name string, source string, target_share double, max_repeats int")
+    sized = mixing.sizes(spark.createDataFrame(rows, SCHEMA), F.col("n"))
+    drawn = mixing.draw(sized, targets, "m", total=60_000)
+    whole = sum(r[4] for r in rows)
+    want = {r.topic: r.t / whole for r in sized.groupBy("topic").agg(F.sum("n_tokens").alias("t")).collect()}
+    got = by_topic(sized, drawn)
+    assert len(want) == 16 and all(got[k] == pytest.approx(w, abs=0.01) for k, w in want.items())
+    assert {r.source: r.share for r in mixing.shares_reached(drawn, targets).collect()} == pytest.approx({"a": 0.6, "b": 0.4}, abs=0.01)
