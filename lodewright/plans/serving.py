@@ -9,6 +9,7 @@ from lodewright.functions.paths import module_of
 from lodewright.functions.scores import rounded, severity_weight
 from lodewright.functions.text import clean_text, log_safe, metric_path
 from lodewright.operators import windows as w
+from lodewright.plans.fusion import touches
 from lodewright.session import as_micros, table
 
 
@@ -37,13 +38,14 @@ def list_touches_of_file(spark, sf_dir):
 
 
 def semi_touched_files(spark, sf_dir):
-    """Files of commits that some session wrote, as their paths are given."""
-    written = table(spark, sf_dir, "session_file_touches").where(F.col("touch_kind").isin("write", "create")).select("project_id", F.col("file_path").alias("path"))
+    """Files of commits that some session wrote, under the path the touch leads to."""
+    written = touches(spark, sf_dir).where(F.col("touch_kind").isin("write", "create")).select("project_id", F.col("file_path").alias("path"))
     return table(spark, sf_dir, "commit_files").select("project_id", "path").distinct().join(written, ["project_id", "path"], "left_semi")
 
 
 def anti_untouched_files(spark, sf_dir):
-    touched = table(spark, sf_dir, "session_file_touches").select("project_id", F.col("file_path").alias("path"))
+    """Files of commits that no session touched, under the path the touch leads to."""
+    touched = touches(spark, sf_dir).select("project_id", F.col("file_path").alias("path"))
     return table(spark, sf_dir, "commit_files").select("project_id", "path").distinct().join(touched, ["project_id", "path"], "left_anti")
 
 

@@ -98,3 +98,14 @@ def test_many_confounders_are_sampled(spark):
         assert got[i].confounders == len(others)
         listed = [f"s{j}" for _, j in others[:50]]
         assert got[i].sample == listed + ([f"... and {len(others) - 50} more decision(s) in this window"] if len(others) > 50 else [])
+
+
+def test_touched_files_are_found_under_any_spelling(spark, tmp_path):
+    from lodewright.plans import serving
+
+    spark.createDataFrame([(1, "/ws/p")], "project_id long, path string").write.parquet(f"{tmp_path}/projects.parquet")
+    spark.createDataFrame([(1, f) for f in ("a/x.py", "a/y.py", "a/z.py", "a/r.py", "b.py")], "project_id long, path string").write.parquet(f"{tmp_path}/commit_files.parquet")
+    paths = [(1, r"a\x.py", "write"), (1, "/ws/p/a/y.py", "create"), (1, "./b/../a/z.py", "write"), (1, "a//r.py", "read")]
+    spark.createDataFrame(paths, "project_id long, file_path string, touch_kind string").write.parquet(f"{tmp_path}/session_file_touches.parquet")
+    assert {r.path for r in serving.semi_touched_files(spark, str(tmp_path)).collect()} == {"a/x.py", "a/y.py", "a/z.py"}
+    assert {r.path for r in serving.anti_untouched_files(spark, str(tmp_path)).collect()} == {"b.py"}
