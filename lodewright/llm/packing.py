@@ -48,6 +48,7 @@ def best_fit(sizes: np.ndarray, budget: Budget) -> tuple[np.ndarray, np.ndarray]
     left, number, filled = np.empty((3, 1024)), np.empty(1024, np.int64), np.empty(1024, np.int64)
     count = opened = 0
     smallest = float(sizes.min()) / capacity[0] if len(sizes) else 0.0
+    least_cost = float(sizes.min()) ** 2 / capacity[2] if len(sizes) else 0.0
     for k, item in enumerate(order):
         n = float(sizes[item])
         need = np.array([n, 1.0, n * n]) / capacity
@@ -69,7 +70,7 @@ def best_fit(sizes: np.ndarray, budget: Budget) -> tuple[np.ndarray, np.ndarray]
         window[item], position[item] = number[at], filled[at]
         filled[at] += 1
         if k % 512 == 511 or left[0, at] < smallest:  # close what nothing fits into any more
-            open_ = np.flatnonzero((left[0, :count] >= smallest - 1e-12) & (left[1, :count] > 1e-12))
+            open_ = np.flatnonzero((left[0, :count] >= smallest - 1e-12) & (left[1, :count] > 1e-12) & (left[2, :count] >= least_cost - 1e-12))
             count = len(open_)
             left[:, :count], number[:count], filled[:count] = left[:, open_], number[open_], filled[open_]
     return window, position
@@ -107,11 +108,11 @@ def pack(df: DataFrame, key: str, size: str, budget: Budget, group_rows: int = G
     )
 
 
-def pack_budgets(sizes: DataFrame, budgets: DataFrame, key: str = "doc_id", size: str = "n_tokens", name: str = "budget_name", capacity: str = "capacity_tokens") -> DataFrame:
-    """pack() for every budget of a small table, with its name in front."""
+def pack_budgets(sizes: DataFrame, budgets: DataFrame, key: str = "doc_id", size: str = "n_tokens", name: str = "budget_name", capacity: str = "capacity_tokens", attention_share: float | None = None) -> DataFrame:
+    """pack() for every budget of a small table, with its name in front; under an attention capacity of this share of the squared tokens if one is given."""
     out = None
     for row in budgets.select(name, capacity).distinct().orderBy(name).collect():
-        packed = pack(sizes, key, size, Budget(row[1])).select(F.lit(row[0]).alias(name), "*")
+        packed = pack(sizes, key, size, Budget(row[1], attention=attention_share and attention_share * row[1] ** 2)).select(F.lit(row[0]).alias(name), "*")
         out = packed if out is None else out.unionByName(packed)
     return out
 

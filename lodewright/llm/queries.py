@@ -28,6 +28,11 @@ def p6_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_budgets(_document_sizes(spark, sf_dir), table(spark, sf_dir, "context_budgets"))
 
 
+def p6_attention_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p6_windows under an attention capacity of a quarter of the squared tokens; a longer document or piece than half the window gets one to itself."""
+    return packing.pack_budgets(_document_sizes(spark, sf_dir), table(spark, sf_dir, "context_budgets"), attention_share=0.25)
+
+
 def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p6_windows(spark, sf_dir), table(spark, sf_dir, "context_budgets"))
 
@@ -74,7 +79,7 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _levels(spark, sf_dir).groupBy(mixing.same_source(F.col("source")).alias("source"), "level").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_redacted, p6_windows, p6_fill, p7_documents, p7_shares, p8_found, p8_levels, p8_profile)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_redacted, p6_windows, p6_attention_windows, p6_fill, p7_documents, p7_shares, p8_found, p8_levels, p8_profile)}
 
 #: None of these can be expressed in SQL; their tests compare with brute force, round trips and held-out labels.
 ORACLE: dict[str, str] = {}

@@ -61,3 +61,17 @@ def test_operator(spark):
     row = fill_report(grouped.selectExpr("'b' as budget_name", "*"), budgets).first()
     assert row.items == 3000 and row.fill > 0.95
     assert pytest.approx(row.tokens) == sum(i % 97 + 1 for i in range(3000))
+
+
+def test_registered_query_packs_under_attention(spark, monkeypatch):
+    from lodewright.llm import queries
+
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate([40] * 6 + [60] * 3 + [10] * 8)], "doc_id long, n_tokens int")
+    monkeypatch.setattr(queries, "_document_sizes", lambda spark, sf_dir: rows)
+    monkeypatch.setattr(queries, "table", lambda spark, sf_dir, name: spark.createDataFrame([("b", 100)], "budget_name string, capacity_tokens int"))
+    windows = {}
+    for r in queries.QUERIES["p6_attention_windows"](spark, "").collect():
+        windows.setdefault(r.window, []).append(r.n_tokens)
+    assert sum(map(len, windows.values())) == 17
+    assert all(len(w) == 1 or sum(n * n for n in w) <= 2500 for w in windows.values())
+    assert sorted(map(sorted, (w for w in windows.values() if 60 in w))) == [[60]] * 3
