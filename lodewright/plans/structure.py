@@ -33,7 +33,7 @@ def loc_per_file(spark, sf_dir):
 
 
 def loc_estimated(spark, sf_dir):
-    return _files(spark, sf_dir).select("path", s.estimated_lines(F.col("content"), 16384, 4096).alias("loc"))
+    return _files(spark, sf_dir).select("path", s.estimated_lines(F.col("content")).alias("loc"))
 
 
 def arch_module_rollup(spark, sf_dir):

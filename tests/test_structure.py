@@ -89,3 +89,14 @@ def test_functions(spark):
     metrics = function_metrics(inv)
     assert tuple(function_summary(metrics).first()) == (1, 3, 2.0, 5.0, 5, 0, 0)
     assert worst_functions(metrics).count() == 0
+
+
+def test_only_very_large_texts_are_estimated(spark, tmp_path):
+    from lodewright.plans import structure
+
+    uneven = "x" * 5000 + "\n" * 20_000  # no prefix tells its lines
+    large = "abcdefg\n" * 300_000
+    spark.createDataFrame([(1, "a", uneven), (1, "b", large)], "project_id long, doc_path string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.path: r.loc for r in structure.loc_estimated(spark, str(tmp_path)).collect()}
+    exact = files(spark, [(1, "a", uneven)]).select(s.lines_of_code(F.col("content"))).first()[0]
+    assert got == {"a": exact, "b": 300_000}
