@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import pkgutil
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
@@ -26,7 +27,7 @@ TYPES = ("email", "phone", "id_number", "street_address", "person_name")
 #: The longest mention, in characters; the length that bounds the dynamic programming.
 LONGEST = 160
 
-_UPPER = "".join(chr(c) for c in range(0x41, 0x250) if chr(c).isupper())
+_UPPER = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Lu")
 _CAP = rf"[{_UPPER}](?:[^\W\d_]|['’](?=[^\W\d_]))*(?:-[^\W\d_]+)*"
 _LOW = r"[^\W\d_]+(?:-[^\W\d_]+)*"
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W\d_]+)?")
@@ -78,7 +79,7 @@ _AT = re.compile(r"@|%40|＠|[(\[{]at[)\]}]", re.IGNORECASE)
 
 def _emails(text: str) -> Iterator[tuple]:
     found = [*_EMAIL.finditer(text)] if _AT.search(text) else []
-    if " dot " in text:
+    if " dot " in text.lower():
         found += _SPELLED.finditer(text)
     for m in found:
         local, at, host = m.group("local", "at", "host")
@@ -86,7 +87,7 @@ def _emails(text: str) -> Iterator[tuple]:
         left, _ = _before(text, m.start())
         right, _ = _after(text, m.end())
         f = ["email", "email:tld" if labels[-1].isalpha() and len(labels[-1]) > 1 else "email:no-tld", f"email:left{_sort_of(left)}", f"email:right{_sort_of(right)}"]
-        f.append("email:sign" if at == "@" else "email:spelled" if at == " at " else "email:disguised")
+        f.append("email:sign" if at == "@" else "email:spelled" if at.lower() == " at " else "email:disguised")
         if any(x.isdigit() for x in labels):
             f.append("email:number-host")
         if local.lower() in ("git", "ssh", "hg", "svn", "root", "www"):
@@ -210,16 +211,16 @@ def _ids(text: str) -> Iterator[tuple]:
 
 _TYPE = "|".join(sorted(lex.STREET_TYPES, key=len, reverse=True))
 _UNIT = re.compile(r"(?:flat|apt|unit|suite) [0-9]{1,3}[a-z]?, $", re.IGNORECASE)
-_HOUSE = re.compile(r"(?<![\w./:-])[0-9]{1,4}[a-zA-Z]?(?=,? |,? ?(?:bis|ter) )")
+_HOUSE = re.compile(r"(?<![\w./:-])[0-9]{1,5}[a-zA-Z]?(?=,? |,? ?(?:bis|ter) )")
 _NUMBER_FIRST = re.compile(
-    rf"[0-9]{{1,4}}[a-z]?,? (?P<body>{_LOW}(?: {_LOW}){{0,2}}?) (?P<kind>{_TYPE})(?![\w/.-]*\w)(?:, (?:apt|flat|unit) [0-9]{{1,3}}[a-z]?)?", re.IGNORECASE
+    rf"[0-9]{{1,5}}[a-z]?,? (?P<body>{_LOW}(?: {_LOW}){{0,2}}?) (?P<kind>{_TYPE})(?![\w/.-]*\w)(?:, (?:apt|flat|unit) [0-9]{{1,3}}[a-z]?)?", re.IGNORECASE
 )
 _FRENCH = re.compile(
-    rf"[0-9]{{1,4}}(?: bis| ter)?,? (?P<kind>(?i:rue|avenue|place|boulevard|chemin|impasse|quai|allée))(?P<body> (?:(?:de|du|des|la|le|les|d'|l')\s?)*{_LOW}(?: {_CAP})*)"
+    rf"[0-9]{{1,5}}(?: bis| ter)?,? (?P<kind>(?i:rue|avenue|place|boulevard|chemin|impasse|quai|allée))(?P<body> (?:(?:de|du|des|la|le|les|d'|l')\s?)*{_LOW}(?: {_CAP})*)"
 )
 _NAME_FIRST = re.compile(
     rf"(?P<kind>{_LOW}(?:stra(?:ß|ss)e|str\.|weg|allee|gasse|platz|ring|damm|ufer|steig)|(?:calle|avenida|avda\.|plaza|paseo|camino|ronda|c/)(?: (?:de|del|la|las|los|el))*(?: {_LOW}){{1,4}}|\b(?:am|im|zum|zur|an der|auf dem|unter den) {_LOW}(?: {_LOW})?)"
-    r",? [0-9]{1,4}[a-z]?\b(?:, ?[0-9]{1,2}[ºª°]\s?[a-z]?)?",
+    r",? [0-9]{1,5}[a-z]?\b(?:, ?[0-9]{1,2}[ºª°]\s?[a-z]?)?",
     re.IGNORECASE,
 )
 _TOWN_AFTER = re.compile(rf", (?:[0-9]{{5}} )?{_CAP}"), re.compile(rf", (?:[0-9]{{5}} )?{_CAP} {_CAP}")
@@ -264,7 +265,9 @@ def _addresses(text: str) -> Iterator[tuple]:
 
 
 _NAME_TOKEN = rf"(?:{_CAP}\.?)"
-_NAME_RUN = re.compile(rf"(?<![\w@\\/$#]){_NAME_TOKEN}(?:(?: |, ){_NAME_TOKEN})+")
+#: Lower-case words inside a surname.
+_PARTICLES = "(?:(?:van|von|vom|zu|zur|zum|den|der|de|del|della|di|da|das|dos|du|la|le|las|los|ten|ter|bin|ibn|al|af|av) ){1,3}"
+_NAME_RUN = re.compile(rf"(?<![\w@\\/$#]){_NAME_TOKEN}(?:(?: |, )(?:{_PARTICLES})?{_NAME_TOKEN})+")
 _CAMEL = re.compile(r"(?<!\bMac)(?<=[a-z]{2})[A-Z]")
 _NAME_PART = re.compile(_NAME_TOKEN)
 _LOWER_WORD = re.compile(r"[^\W\d_]+")
@@ -295,9 +298,7 @@ def _name_features(text: str, parts: list[tuple[int, int]], first: bool, last: b
     if any(r.endswith(".") and len(w) > 1 for r, w in zip(rest_raw[:-1], rest[:-1])) or any(len(r) == 1 or _CAMEL.search(r) for r in rest_raw):
         return None
     ordinary = sum(not lex.ORDINARY.isdisjoint(w.split("-")) for w in full)
-    if ordinary == len(full) and not title:
-        return None
-    commas = [i for i in range(len(parts) - 1) if text[parts[i][1] : parts[i + 1][0]] != " "]
+    commas = [i for i in range(len(parts) - 1) if "," in text[parts[i][1] : parts[i + 1][0]]]
     if len(commas) > 1 or (commas and (title or commas[0] != 0 or len(rest) > 3)):
         return None
     end -= _loose_end(raw[-1])

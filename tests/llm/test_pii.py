@@ -106,3 +106,18 @@ def test_operators(spark):
     masked = {(r.id, r.body, r.pii_type) for r in pii.redact(df, "body").collect()}
     assert (1, "Author: [PERSON_NAME] <[EMAIL]>", "x") in masked and (2, None, "x") in masked and (4, "nothing here", None) in masked
     assert pii.find_mentions(df.limit(0), "id", "body").count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("please ask Mark Hill about it", [("Mark Hill", "person_name")]),
+        ("thanks, Otto van der Meer", [("Otto van der Meer", "person_name")]),
+        ("Иван Петров wrote this", [("Иван Петров", "person_name")]),
+        ("Reviewed by Ḿira Ḱestrelsen", [("Ḿira Ḱestrelsen", "person_name")]),
+        ("mail JANE AT CORP DOT COM now", [("JANE AT CORP DOT COM", "email")]),
+        ("office at 12345 Juniper Road, Fennville", [("12345 Juniper Road, Fennville", "street_address")]),
+    ],
+)
+def test_mentions_are_left_to_the_weights(text, expected):
+    assert kinds(text) == expected
