@@ -33,6 +33,11 @@ class Feed:
     parse: Callable[[str], tuple]
 
 
+def _storable(text: str) -> str:
+    """The text with lone surrogates, which JSON may escape but no UTF-8 column can hold, as the escapes they came from."""
+    return text if text.isascii() else text.encode("utf-8", "backslashreplace").decode()
+
+
 # ---- session_log: one JSON object per line
 
 
@@ -67,7 +72,7 @@ def parse_session_log(line: str) -> tuple:
                 if not isinstance(part["is_error"], bool):
                     raise Unreadable("is_error is not a boolean")
                 failed += part["is_error"]
-    return session, kind, stamp, calls, failed
+    return _storable(session), _storable(kind), stamp, calls, failed
 
 
 # ---- touch_export: one RFC 4180 record per line
@@ -79,6 +84,13 @@ _DECIMAL = re.compile(r"[0-9]+(?:\.[0-9]+)?")
 _KINDS = {"read", "write", "create", "delete"}
 
 
+def _at_most_one(decimal: str) -> bool:
+    """Whether a plain decimal is at most 1, by its digits, however many there are."""
+    whole, _, part = decimal.partition(".")
+    whole = whole.lstrip("0")
+    return not whole or (whole == "1" and not part.strip("0"))
+
+
 def split_record(line: str) -> list[str]:
     """The fields of one RFC 4180 record, with or without its line end."""
     end = len(line) - (2 if line.endswith("\r\n") else 1 if line.endswith("\n") else 0)
@@ -109,7 +121,7 @@ def parse_touch_export(line: str) -> tuple:
         raise Unreadable("call_id is empty" if not call else "file_path is empty")
     if kind not in _KINDS:
         raise Unreadable("touch_kind is unknown")
-    if not _DECIMAL.fullmatch(confidence) or float(confidence) > 1:
+    if not _DECIMAL.fullmatch(confidence) or not _at_most_one(confidence):
         raise Unreadable("confidence is no decimal from 0 to 1")
     if stamp and not names_instant(stamp):
         raise Unreadable("occurred_at names no instant")
@@ -136,11 +148,26 @@ def with_offset(raw: DataFrame) -> DataFrame:
     return raw.withColumn("_sum", F.xxhash64("feed", "line"))
 
 
+def _records(raw: DataFrame) -> DataFrame:
+    """The rows of raw that are records: lines that are neither null nor white space."""
+    return with_offset(raw).where(F.col("line").isNotNull() & ~F.col("line").rlike(_BLANK))
+
+
+def _parsed(feed: Feed, line: bytes) -> tuple:
+    """The fields of a conforming line. The line comes as bytes, because a damaged one need not be UTF-8."""
+    try:
+        text = line.decode("utf-8")
+    except UnicodeDecodeError:
+        raise Unreadable("not UTF-8") from None
+    return feed.parse(text)
+
+
 def strict_load(raw: DataFrame, feed: str, feeds: dict[str, Feed] = FEEDS) -> DataFrame:
     """The conforming rows of one feed with their fields; line_id, _sum, file_name and line_no are kept.
 
     A null line, like a line of white space, is no record. Columns of raw other than line_id, feed,
-    file_name, line_no and line are not carried along, so their names cannot clash with the fields.
+    file_name, line_no and line are not carried along, so their names cannot clash with the fields. Escaped lone
+    surrogates stay escaped in the fields.
     """
     spec, names = feeds[feed], ["line_id", "_sum", "file_name", "line_no"]
 
@@ -150,30 +177,52 @@ def strict_load(raw: DataFrame, feed: str, feeds: dict[str, Feed] = FEEDS) -> Da
             keep, rows = [], []
             for i, line in enumerate(batch["line"]):
                 try:
-                    rows.append(spec.parse(line))
+                    rows.append(_parsed(spec, line))
                     keep.append(i)
                 except Unreadable:
                     pass
             yield pd.concat([batch[names].iloc[keep].reset_index(drop=True), pd.DataFrame(rows, columns=fields)], axis=1)
 
-    records = with_offset(raw).where((F.col("feed") == feed) & F.col("line").isNotNull() & ~F.col("line").rlike(_BLANK))
-    return records.select(*names, "line").mapInPandas(load, f"line_id long, _sum long, file_name string, line_no int, {spec.schema}")
+    records = _records(raw).where(F.col("feed") == feed)
+    return records.select(*names, F.col("line").cast("binary").alias("line")).mapInPandas(load, f"line_id long, _sum long, file_name string, line_no int, {spec.schema}")
+
+
+def loaded_offsets(raw: DataFrame, feeds: dict[str, Feed] = FEEDS) -> DataFrame:
+    """line_id, _sum of the rows that the strict loads of all feeds accept, in one pass over raw."""
+
+    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = []
+            for i, (feed, line) in enumerate(zip(batch["feed"], batch["line"])):
+                try:
+                    _parsed(feeds[feed], line)
+                    keep.append(i)
+                except Unreadable:
+                    pass
+            yield batch[["line_id", "_sum"]].iloc[keep]
+
+    records = _records(raw).where(F.col("feed").isin([*feeds]))
+    return records.select("line_id", "_sum", "feed", F.col("line").cast("binary").alias("line")).mapInPandas(load, "line_id long, _sum long")
+
+
+def unreadable_offsets(raw: DataFrame, feeds: dict[str, Feed] = FEEDS) -> DataFrame:
+    """line_id, _sum of every record that no strict load accepts: the raw offsets minus the loaded ones.
+
+    Only offsets are moved, no lines. Repeated rows stay repeated.
+    """
+    loaded = loaded_offsets(raw, feeds).select(F.col("line_id").alias("_id"), F.col("_sum").alias("_s"))
+    return _records(raw).select("line_id", "_sum").join(loaded, F.col("line_id").eqNullSafe(F.col("_id")) & (F.col("_sum") == F.col("_s")), "left_anti")
 
 
 def unreadable(raw: DataFrame, feeds: dict[str, Feed] = FEEDS) -> DataFrame:
     """Every record that no strict load accepts: line_id, feed, file_name, line_no, line, reason.
 
     Null and blank lines are no records. A record of an unknown or null feed is unreadable. Repeated
-    rows stay repeated. An empty table gives an empty one.
+    rows stay repeated. An empty table gives an empty one. The lines are fetched for the remainder alone.
     """
-    loaded = None
-    for feed in feeds:
-        offsets = strict_load(raw, feed, feeds).select(F.col("line_id").alias("_id"), F.col("_sum").alias("_s"))
-        loaded = offsets if loaded is None else loaded.unionByName(offsets)
-    records = with_offset(raw).where(F.col("line").isNotNull() & ~F.col("line").rlike(_BLANK))
-    remainder = records.select("line_id", "feed", "file_name", "line_no", "line", "_sum").join(
-        loaded, F.col("line_id").eqNullSafe(F.col("_id")) & (F.col("_sum") == F.col("_s")), "left_anti"
-    )
+    lost = unreadable_offsets(raw, feeds).select(F.col("line_id").alias("_id"), F.col("_sum").alias("_s"))
+    records = _records(raw).select("line_id", "feed", "file_name", "line_no", "line", "_sum")
+    remainder = records.join(lost, F.col("line_id").eqNullSafe(F.col("_id")) & (F.col("_sum") == F.col("_s")), "left_semi")
 
     @F.pandas_udf("string")
     def reason(feed: pd.Series, line: pd.Series) -> pd.Series:
@@ -181,14 +230,14 @@ def unreadable(raw: DataFrame, feeds: dict[str, Feed] = FEEDS) -> DataFrame:
             if f not in feeds:
                 return "unknown feed"
             try:
-                feeds[f].parse(x)
+                _parsed(feeds[f], x)
             except Unreadable as e:
-                return str(e)
+                return _storable(str(e))
             return "not loaded"
 
         return pd.Series([why(f, x) for f, x in zip(feed, line)], dtype=object)
 
-    return remainder.withColumn("reason", reason("feed", "line")).drop("_sum")
+    return remainder.withColumn("reason", reason("feed", F.col("line").cast("binary"))).drop("_sum")
 
 
 def session_counts(raw: DataFrame) -> DataFrame:

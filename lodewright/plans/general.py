@@ -10,7 +10,7 @@ from lodewright.session import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quarantine.unreadable(table(spark, sf_dir, "raw_lines")).select("line_id")
+    return quarantine.unreadable_offsets(table(spark, sf_dir, "raw_lines")).select("line_id")
 
 
 def p1_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import random
 from datetime import datetime
 
 import pytest
@@ -40,7 +41,7 @@ def test_deep_json_is_readable():
 
 
 @pytest.mark.parametrize(
-    "line", [GOOD, GOOD + "\r\n", GOOD.replace("note", '"a ""b"", c\nd"'), GOOD.replace("2025-03-03T16:32:50+00:00", ""), GOOD.replace(",0.9,", ",1,"), GOOD.replace(",285,", ",007,")]
+    "line", [GOOD, GOOD + "\r\n", GOOD.replace("note", '"a ""b"", c\nd"'), GOOD.replace("2025-03-03T16:32:50+00:00", ""), GOOD.replace(",0.9,", ",1,"), GOOD.replace(",285,", ",007,"), GOOD.replace(",0.9,", ",001.000,")]
 )
 def test_touch_lines_readable(line):
     assert len(q.parse_touch_export(line)) == 9
@@ -48,7 +49,7 @@ def test_touch_lines_readable(line):
 
 @pytest.mark.parametrize(
     "line",
-    [GOOD.replace("note", '"open'), GOOD.replace("note", 'a"b'), GOOD.replace("note", '"a"b'), GOOD + ",x", GOOD.replace(",285,", ",0,"), GOOD.replace(",285,", ",-1,"), GOOD.replace("call_7f", ""), GOOD.replace("delete", "Delete"), GOOD.replace(",0.9,", ",1.01,"), GOOD.replace(",0.9,", ",.9,"), GOOD.replace("false", "False"), GOOD.upper(), GOOD + "\n" + GOOD, GOOD.replace("-03-03T", "-02-30T")],
+    [GOOD.replace("note", '"open'), GOOD.replace("note", 'a"b'), GOOD.replace("note", '"a"b'), GOOD + ",x", GOOD.replace(",285,", ",0,"), GOOD.replace(",285,", ",-1,"), GOOD.replace("call_7f", ""), GOOD.replace("delete", "Delete"), GOOD.replace(",0.9,", ",1.01,"), GOOD.replace(",0.9,", ",1.00000000000000000001,"), GOOD.replace(",0.9,", ",.9,"), GOOD.replace("false", "False"), GOOD.upper(), GOOD + "\n" + GOOD, GOOD.replace("-03-03T", "-02-30T")],
 )
 def test_touch_lines_unreadable(line):
     with pytest.raises(q.Unreadable):
@@ -84,3 +85,36 @@ def test_unreadable_is_the_remainder(spark):
     counts = {r.external_id: (r.unreadable_lines, r.failed_calls) for r in q.session_counts(raw).collect()}
     assert counts["s"] == (2, 1) and counts[UID] == (0, 0) and counts["e.csv"] == (2, 0)
     assert q.unreadable(raw.limit(0)).count() == 0
+
+
+def test_any_line_leaves_the_others_loaded(spark):
+    rng, at = random.Random(11), datetime(2024, 1, 1)
+    lone = r'{"type":"\ud800","sessionId":"s\udfff","timestamp":"2024-02-29T10:00:00Z","message":{"content":"\ud83d\ude00"}}'
+    lines = [("session_log", lone), ("touch_export", GOOD), ("session_log", '{"type":"' + "\x00" + '"}'), ("session_log", '{"type":"u","sessionId":"s","a":1e999999}')]
+    alphabet = ['"', ",", "\n", "\r", "\\", "{", "}", "[", "]", ":", "a", "1", "\\ud800", "\ufeff", "\x00", "é", "😀", " "]
+    for i in range(300):
+        feed, base = ("session_log", lone) if i % 2 else ("touch_export", GOOD)
+        at_ = rng.randrange(len(base))
+        cut = base[:at_] + "".join(rng.choices(alphabet, k=rng.randrange(3))) + base[at_ + rng.randrange(3) :]
+        lines.append((feed, cut))
+    raw = spark.createDataFrame([(i, f, "x", i, line, at) for i, (f, line) in enumerate(lines)], "line_id long, feed string, file_name string, line_no int, line string, received_at timestamp")
+
+    def readable(feed, line):
+        try:
+            q.FEEDS[feed].parse(line)
+            return True
+        except q.Unreadable:
+            return False
+
+    good = {i for i, (f, line) in enumerate(lines) if readable(f, line)}
+    bad = {i for i, (f, line) in enumerate(lines) if line.strip() and i not in good}
+    assert 10 < len(good) < 290 and {0, 1, 3} <= good
+    loaded = [r for f in q.FEEDS for r in q.strict_load(raw, f).collect()]
+    assert {r.line_id for r in loaded} == good
+    assert next(r for r in loaded if r.line_id == 0)[4:6] == ("s\\udfff", "\\ud800")
+    assert {r.line_id for r in q.unreadable(raw).collect()} == bad == {r.line_id for r in q.unreadable_offsets(raw).collect()}
+
+
+def test_bytes_that_are_no_utf8(spark):
+    raw = spark.sql("SELECT 1L AS line_id, 'session_log' AS feed, 'f' AS file_name, 1 AS line_no, CAST(X'7BFF7D' AS STRING) AS line, current_timestamp() AS received_at")
+    assert [r.reason for r in q.unreadable(raw).select("reason").collect()] == ["not UTF-8"]
