@@ -10,8 +10,9 @@ from zoneinfo import TZPATH, ZoneInfo
 
 import numpy as np
 
-# Fixed range of the tables; outside it the first or last offset holds.
-FIRST_YEAR, LAST_YEAR = 1900, 2100
+# Fixed range of the tables. Before it no zone had left its local mean time; past it every zone repeats its yearly rule, so a
+# later year is looked up as one of the table's last 28, which hold every pair of first weekday and length a year can have.
+FIRST_YEAR, LAST_YEAR, CYCLE = 1800, 2130, 28
 US = 1_000_000
 _EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 
@@ -32,6 +33,25 @@ def data_version() -> str:
         return "unknown"
 
 
+def _calendars() -> tuple[np.ndarray, np.ndarray]:
+    """For each year to 9999, by its number, the day it begins on and how many days before it the table's like year begins."""
+    first = (np.arange(10_001) - 1970).astype("M8[Y]").astype("M8[D]").astype(np.int64)
+    kind = (first[:-1] % 7) * 2 + (np.diff(first) == 366)
+    like = {int(kind[y]): y for y in range(LAST_YEAR - CYCLE - 1, LAST_YEAR - 1)}
+    back = [0 if y < LAST_YEAR - 1 else int(first[y] - first[like[int(kind[y])]]) for y in range(10_000)]
+    return first, np.array(back, dtype=np.int64)
+
+
+_FIRST_DAYS, _DAYS_BACK = _calendars()
+_DAY_US = 86_400 * US
+
+
+def _to_table(wall: np.ndarray) -> np.ndarray:
+    """How far back the like time within the table lies; 0 for times within it."""
+    year = np.clip(np.searchsorted(_FIRST_DAYS, wall // _DAY_US, side="right") - 1, 0, 9999)
+    return _DAYS_BACK[year] * _DAY_US
+
+
 class ZoneTable:
     """The periods of one zone: UTC starts, offsets in microseconds and abbreviations."""
 
@@ -64,7 +84,7 @@ class ZoneTable:
 
     def to_utc(self, wall: np.ndarray) -> np.ndarray:
         """UTC of wall-clock microseconds."""
-        return wall - self.offsets[np.searchsorted(self.walls, wall, side="right")]
+        return wall - self.offsets[np.searchsorted(self.walls, wall - _to_table(wall), side="right")]
 
     def abbreviated(self, wall: np.ndarray, name: str) -> np.ndarray | None:
         """UTC of wall-clock microseconds under an abbreviation of this zone; None if it has no such one.
@@ -75,12 +95,14 @@ class ZoneTable:
         periods = np.flatnonzero(self.names == name)
         if not len(periods):
             return None
+        back = _to_table(wall)
+        wall = wall - back
         utc = wall - self.offsets[periods[np.maximum(np.searchsorted(self.starts[periods], self.to_utc(wall), side="right") - 1, 0)]]
         for offset in np.unique(self.offsets[periods]):
             at = np.searchsorted(self.starts, wall - offset, side="right") - 1
             fits = (at >= 0) & (self.names[at] == name) & (self.offsets[at] == offset)
             utc = np.where(fits, wall - offset, utc)
-        return utc
+        return utc + back
 
 
 @lru_cache(maxsize=1024)

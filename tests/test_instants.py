@@ -67,13 +67,26 @@ def test_no_instant(text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.datetimes(datetime(1950, 1, 1), datetime(2090, 1, 1)), st.sampled_from([NY, BERLIN, "Australia/Lord_Howe", "America/Sao_Paulo", "Asia/Kolkata"]))
+@given(
+    st.one_of(st.datetimes(datetime(1950, 1, 1), datetime(2090, 1, 1)), st.datetimes(datetime(1, 1, 3), datetime(9999, 12, 28))),
+    st.sampled_from([NY, BERLIN, "Australia/Lord_Howe", "America/Sao_Paulo", "Asia/Kolkata", "Africa/Casablanca", "Asia/Manila", "America/Godthab"]),
+)
 def test_tables_agree_with_zoneinfo(wall, key):
     expected = int(wall.replace(tzinfo=ZoneInfo(key), microsecond=0).timestamp())
     got = zone_table(key).to_utc(pd.Series([int(wall.replace(tzinfo=UTC, microsecond=0).timestamp()) * 1_000_000]).to_numpy())[0]
     assert got == expected * 1_000_000
 
 
+@pytest.mark.parametrize("text", ["2105-07-01 12:00:00", "2400-02-29 23:30:00", "9999-07-01 00:00:00", "2131-03-11 02:30:00", "1800-06-01 12:00:00", "0001-06-01 12:00:00", "1883-11-18 12:01:00"])
+def test_years_far_away(text):
+    wall = datetime.fromisoformat(text)
+    offset = wall.replace(tzinfo=ZoneInfo(NY)).utcoffset()
+    assert parse_instants(pd.Series([text]), pd.Series([NY]), pd.Series(["en_US"]))[0] == (wall - offset - datetime(1970, 1, 1)).total_seconds() * 1e6
+    summer = [n for n in ("EDT", "EST", "LMT") if zone_table(NY).abbreviated(pd.Series([0]).to_numpy(), n) is not None]
+    assert summer == ["EDT", "EST", "LMT"]
+    assert at("2105-07-01 12:00:00 EDT") == "2105-07-01 16:00:00" and at("2105-01-01 12:00:00 EST") == "2105-01-01 17:00:00"
+
+
 def test_operator(spark):
     projects = spark.createDataFrame([(1, NY, "en_US"), (2, BERLIN, "de_DE")], "project_id long, time_zone string, locale string")
     rows = [(1, 1, "2024-05-20 10:00:00", "a"), (2, 2, "05/06/2024", None), (3, None, "2024-05-20 10:00:00", "a"), (4, 1, None, "a"), (5, 1, "2024-05-20T10:00:00.000000Z", "a"), (5, 1, "bad", "a")]
