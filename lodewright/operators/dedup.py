@@ -1,10 +1,10 @@
 """Messages delivered at least once, brought down to one copy each.
 
-Identifiers are compared by exact value, not by hash. Deliveries are first folded to one arrival per
-identifier where they are read, so a message repeated a million times costs its shard one row. Each
-shard keeps a dictionary of identifiers and a compressed bitmap of the codes already seen; a batch
-yields one arrival for every code whose bit is not set. The new bits and the new dictionary entries
-become visible together, by one rename.
+Identifiers are compared by exact value, not by hash. The arrivals of a batch are cut into a few waves by time and
+folded to one per identifier and wave where they are read, so a message repeated a million times costs its shard a few
+rows. Each shard has a dictionary of identifiers and a compressed bitmap of the codes already seen. The waves go through
+it in their order: of each wave those arrivals are kept whose bit is not set, and then their bits are set. The new
+bits and the new dictionary entries become visible together, by one rename.
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROWS_PER_SHARD = 50_000
+from lodewright.session import cut_lineage
+
+ROWS_PER_SHARD, WAVES = 50_000, 16
 _CHUNK = 1 << 16
 
 
@@ -143,8 +145,9 @@ class SeenStore:
 
     A batch writes its files first and then replaces the file that names the newest batch by a rename, so
     readers see a batch wholly or not at all and a batch that failed half-way leaves no trace but files
-    nobody reads. One writer at a time. The number of shards is fixed when the store is made; choose it
-    for the identifiers to come, about 50,000 to a shard and batch.
+    nobody reads. One writer at a time. A batch reads the bitmaps of the shards it touches and the dictionary entries
+    of its own identifiers; only these come to Python, so a shard's history may be of any size. The number of shards is
+    fixed when the store is made; choose it for the largest batch to come, about 50,000 identifiers to a shard.
     """
 
     def __init__(self, spark: SparkSession, path: str, shards: int = 64):
@@ -152,21 +155,26 @@ class SeenStore:
         jvm = spark.sparkContext._jvm
         self._root = jvm.org.apache.hadoop.fs.Path(self.path)
         self._fs = self._root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self.version, self.shards = 0, shards
+        self.version, self.shards, self._bits = 0, shards, {}
         current = jvm.org.apache.hadoop.fs.Path(self._root, "CURRENT")
         if self._fs.exists(current):
             said = json.loads(spark.read.text(f"{self.path}/CURRENT").first()[0])
-            self.version, self.shards = said["version"], said["shards"]
+            self.version, self.shards, self._bits = said["version"], said["shards"], {int(k): v for k, v in said["bits"].items()}
 
-    def state(self) -> DataFrame | None:
-        """shard, ident, code, bits: the dictionary entries, and one row with null ident for each bitmap."""
+    def codes_of(self, arrivals: DataFrame) -> DataFrame:
+        """arrivals (shard, ident, ...) with the code that each identifier has in its shard's dictionary, null for a new one."""
         if not self.version:
-            return None
+            return arrivals.withColumn("code", F.lit(None).cast("long"))
         words = self.spark.read.parquet(*(f"{self.path}/dictionary-{v}" for v in range(1, self.version + 1)))
-        bits = self.spark.read.parquet(f"{self.path}/bits-{self.version}")
-        return words.withColumn("bits", F.lit(None).cast("binary")).unionByName(
-            bits.select("shard", F.lit(None).cast("binary").alias("ident"), F.lit(None).cast("long").alias("code"), "bits")
-        )
+        return arrivals.join(words.select("shard", "ident", "code"), ["shard", "ident"], "left")
+
+    def bitmaps(self, shards: list[int]) -> DataFrame | None:
+        """shard, bits, size (how many codes the shard has given out) of those of these shards that have any."""
+        newest = [(s, self._bits[s]) for s in shards if s in self._bits]
+        if not newest:
+            return None
+        # one folder for each shard, so the files of other shards are not opened
+        return self.spark.read.parquet(*(f"{self.path}/bits-{v}/of={s}" for s, v in newest)).select("shard", "bits", "size")
 
     def commit(self, selected: DataFrame) -> None:
         """Writes the entries and bitmaps of a selection and makes them current."""
@@ -175,17 +183,19 @@ class SeenStore:
         selected.write.mode("overwrite").parquet(rows)
         written = self.spark.read.parquet(rows)
         written.where("bits IS NULL AND fresh").select("shard", "ident", "code").write.mode("overwrite").parquet(f"{self.path}/dictionary-{version}")
-        written.where("bits IS NOT NULL").select("shard", "bits").write.mode("overwrite").parquet(f"{self.path}/bits-{version}")
+        touched = written.where("bits IS NOT NULL").select("shard", "bits", F.col("code").alias("size"), F.col("shard").alias("of"))
+        touched.write.mode("overwrite").partitionBy("of").parquet(f"{self.path}/bits-{version}")
+        bits = self._bits | {r.shard: version for r in touched.select("shard").collect()}
         jvm = self.spark.sparkContext._jvm
         draft, current = (jvm.org.apache.hadoop.fs.Path(self._root, n) for n in (f"CURRENT-{version}", "CURRENT"))
         out = self._fs.create(draft, True)
-        out.write(bytearray(json.dumps({"version": version, "shards": self.shards}).encode()))
+        out.write(bytearray(json.dumps({"version": version, "shards": self.shards, "bits": bits}).encode()))
         out.close()
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._root.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
         options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(draft, current, options)
-        self.version = version
+        self.version, self._bits = version, bits
 
     def selection(self) -> DataFrame:
         """The selection of the newest batch."""
@@ -195,46 +205,71 @@ class SeenStore:
 _SELECTION = "shard int, ident binary, code long, kept long, fresh boolean, bits binary"
 
 
-def _select(batch: pd.DataFrame, state: pd.DataFrame | None, remember: bool = True) -> pd.DataFrame:
-    """One arrival for each identifier whose bit is not set yet, and the shard's bitmap with the new bits.
+def _select(batch: pd.DataFrame, state: pd.DataFrame | None = None, remember: bool = True) -> pd.DataFrame:
+    """The arrivals of one shard whose bit is not set when their wave comes, and one row with the shard's new bitmap.
 
-    Identifiers are listed only where they are to be remembered.
+    batch has ident, key, wave and the identifier's code where the dictionary has one; a wave has each identifier at most
+    once. Identifiers are listed only where they are to be remembered. The bitmap's row has the number of codes as code.
     """
-    shard = int(batch["shard"].iloc[0] if len(batch) else state["shard"].iloc[0])
-    seen, known = SeenBits(), {}
-    if state is not None:
-        bitmaps, words = state[state["bits"].notna()], state[state["ident"].notna()]
-        seen = SeenBits.loads(bitmaps["bits"].iloc[0] if len(bitmaps) else None)
-        known = dict(zip(words["ident"].map(bytes), words["code"].astype("int64")))
-    idents = batch["ident"].to_numpy(dtype=object)
-    codes = np.array([known.get(bytes(x), -1) for x in idents], dtype=np.int64) if known else np.full(len(idents), -1, dtype=np.int64)
-    fresh = codes < 0
-    codes[fresh] = len(known) + np.arange(int(fresh.sum()))
-    unseen = ~seen.contains(codes)
-    seen.union(codes[unseen])
-    chosen = {"shard": shard, "ident": idents if remember else None, "code": codes, "kept": batch["key"].to_numpy(), "fresh": fresh, "bits": None}
-    chosen = pd.DataFrame(chosen, index=range(len(idents)))[unseen]
-    whole = pd.DataFrame({"shard": [shard], "ident": [None], "code": [None], "kept": [None], "fresh": [False], "bits": [seen.dumps()]})
+    shard = int(batch["shard"].iloc[0])
+    has = state is not None and len(state) > 0
+    seen = SeenBits.loads(state["bits"].iloc[0] if has else None)
+    size = int(state["size"].iloc[0]) if has else 0
+    batch = batch.sort_values(["wave", "key"], ignore_index=True)
+    # Dictionary codes: those known, and the next free ones for new identifiers in order of arrival.
+    local, idents = pd.factorize(batch["ident"].map(bytes))
+    known = np.full(len(idents), -1, dtype=np.int64)
+    if has:
+        at = np.flatnonzero(batch["code"].notna())
+        known[local[at]] = batch["code"].to_numpy()[at].astype(np.int64)
+    fresh = known < 0
+    known[fresh] = size + np.arange(int(fresh.sum()))
+    codes, waves = known[local], batch["wave"].to_numpy()
+    unseen = np.zeros(len(batch), dtype=bool)
+    for rows in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(waves)) + 1):
+        unseen[rows] = ~seen.contains(codes[rows])
+        seen.union(codes[rows[unseen[rows]]])
+    chosen = {"shard": shard, "ident": batch["ident"] if remember else None, "code": codes, "kept": batch["key"], "fresh": fresh[local], "bits": None}
+    chosen = pd.DataFrame(chosen, index=batch.index)[unseen]
+    whole = pd.DataFrame({"shard": [shard], "ident": [None], "code": [size + int(fresh.sum())], "kept": [None], "fresh": [False], "bits": [seen.dumps()]})
     return pd.concat([chosen, whole], ignore_index=True) if len(chosen) else whole
 
 
 Identity = Callable[[DataFrame], DataFrame]
 
 
-def select_unseen(batch: DataFrame, identity: Identity, time: str, key: str, shards: int, state: DataFrame | None = None, remember: bool = True) -> DataFrame:
-    """For each shard the first arrival of every identifier not seen yet, and one row with the shard's new bitmap."""
+def waves_of(batch: DataFrame, time: str, waves: int = WAVES) -> tuple[int, list[int]]:
+    """How many rows a batch has, and the times (in microseconds) at which its second and later waves begin."""
+    parts = F.array(*[F.lit(k / waves) for k in range(1, waves)])
+    seen = batch.agg(F.count("*").alias("n"), F.percentile_approx(F.unix_micros(time), parts).alias("edges")).first()
+    return seen["n"], sorted(set(seen["edges"] or []))
+
+
+def select_unseen(batch: DataFrame, identity: Identity, time: str, key: str, shards: int, edges: list[int], store: SeenStore | None = None) -> DataFrame:
+    """For each shard the first arrival of every identifier not seen yet, and one row with the shard's new bitmap.
+
+    edges are the times at which the second and later waves begin; arrivals without a time are in the last wave of all.
+    """
+    us = F.unix_micros(F.col(time))
+    wave = F.lit(0)
+    for edge in edges:
+        wave = wave + (us >= edge).cast("int")
     ids = (
         identity(batch)
         .where(F.col(key).isNotNull())
-        .select(F.col("_ident").alias("ident"), _arrival(F.col(time), F.col(key)).alias("arrival"))
+        .select(F.col("_ident").alias("ident"), F.coalesce(wave, F.lit(len(edges) + 1)).alias("wave"), _arrival(F.col(time), F.col(key)).alias("arrival"))
         .withColumn("shard", F.pmod(F.xxhash64("ident"), F.lit(shards)).cast("int"))
-        .groupBy("shard", "ident")
+        .groupBy("shard", "ident", "wave")
         .agg(F.min("arrival").alias("arrival"))
-        .select("shard", "ident", _key_of(F.col("arrival")).alias("key"))
+        .select("shard", "ident", "wave", _key_of(F.col("arrival")).alias("key"))
     )
+    if store is None:
+        return ids.groupBy("shard").applyInPandas(lambda rows: _select(rows, remember=False), _SELECTION)
+    coded = cut_lineage(store.codes_of(ids))
+    state = store.bitmaps([r.shard for r in coded.select("shard").distinct().collect()])
     if state is None:
-        return ids.groupBy("shard").applyInPandas(lambda rows: _select(rows, None, remember), _SELECTION)
-    return ids.groupBy("shard").cogroup(state.groupBy("shard")).applyInPandas(lambda rows, old: _select(rows, old, remember), _SELECTION)
+        return coded.groupBy("shard").applyInPandas(lambda rows: _select(rows), _SELECTION)
+    return coded.groupBy("shard").cogroup(state.groupBy("shard")).applyInPandas(lambda rows, old: _select(rows, old), _SELECTION)
 
 
 def shards_for(rows: int) -> int:
@@ -249,10 +284,11 @@ def kept_deliveries(batch: DataFrame, store: SeenStore | None = None, *, identit
     delivery without identity equals no other and is not listed here; deduplicate() keeps it. Rows without a
     key cannot be told apart and are left out too.
     """
+    rows, edges = waves_of(batch, time)
     if store is None:
-        chosen = select_unseen(batch, identity, time, key, shards_for(batch.count()), remember=False)
+        chosen = select_unseen(batch, identity, time, key, shards_for(rows), edges)
     else:
-        store.commit(select_unseen(batch, identity, time, key, store.shards, store.state()))
+        store.commit(select_unseen(batch, identity, time, key, store.shards, edges, store))
         chosen = store.selection()
     return chosen.where("bits IS NULL").select(F.col("kept").alias(key))
 

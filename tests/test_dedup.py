@@ -6,8 +6,12 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from lodewright.operators import dedup as d
 
+SF = "/root/testdata/sf0.01"
+
 T0 = datetime(2024, 1, 1)
 U, H = "202559db-e249-4aa7-a2bf-2b551ce9acf9", "255ea213d1e28e38c6a6414768e1a3056ca9fcffa075893231be2e4ea96dc049"
 SCHEMA = "delivery_id long, source string, external_id string, seq int, content_hash string, delivered_at timestamp, arrival string, shard string"
@@ -50,11 +54,51 @@ def test_batches_through_a_store_equal_one_batch(spark, tmp_path):
 def test_failed_batch_leaves_no_trace(spark, tmp_path):
     df = frame(spark, [(1, "s", U, 1, H, T0), (2, "s", U, 1, H, T0)])
     store = d.SeenStore(spark, f"file://{tmp_path}/seen", shards=2)
-    d.select_unseen(df, d.turn_identity, "delivered_at", "delivery_id", 2).write.parquet(f"file://{tmp_path}/seen/batch-1")
+    d.select_unseen(df, d.turn_identity, "delivered_at", "delivery_id", 2, [], store).write.parquet(f"file://{tmp_path}/seen/batch-1")
     assert ids(d.redeliveries(df, store)) == [2]
     assert ids(d.redeliveries(df, store)) == [1, 2]
 
 
+def test_the_bitmap_decides(spark, monkeypatch):
+    """With a bitmap that never answers "seen", redeliveries in later waves would be kept."""
+    from lodewright.plans.general import p4_found
+    from lodewright.session import table
+
+    found = ids(p4_found(spark, SF))
+    assert found
+    events = table(spark, SF, "session_events")
+    rows, edges = d.waves_of(events, "delivered_at")
+    assert len(edges) == d.WAVES - 1
+    one = d.turn_identity(events).groupBy("_ident").count().count()
+
+    def blind(rows, remember=True):
+        import numpy
+        from lodewright.operators import dedup
+
+        real, dedup.SeenBits.contains = dedup.SeenBits.contains, lambda self, codes: numpy.zeros(len(codes), dtype=bool)
+        try:
+            return dedup._select(rows, remember=remember)
+        finally:
+            dedup.SeenBits.contains = real
+
+    assert d.kept_deliveries(events).count() == one
+    monkeypatch.setattr(d, "_select", blind)
+    assert d.kept_deliveries(events).count() > one and ids(p4_found(spark, SF)) != found
+
+
+def test_a_batch_reads_only_its_own_entries(spark, tmp_path):
+    store = d.SeenStore(spark, f"file://{tmp_path}/seen", shards=40)
+    first = frame(spark, [(i, "s", U, i, H, T0) for i in range(200)])
+    assert d.kept_deliveries(first, store).count() == 200
+    again = frame(spark, [(1000, "s", U, 7, H, T0), (1001, "s", U, 777, H, T0)])
+    coded = store.codes_of(d.turn_identity(again).select(F.pmod(F.xxhash64("_ident"), F.lit(40)).cast("int").alias("shard"), F.col("_ident").alias("ident"))).collect()
+    assert sorted(r.code is None for r in coded) == [False, True]
+    state = store.bitmaps([r.shard for r in coded])
+    assert {r.shard for r in state.collect()} == {r.shard for r in coded} and len(state.inputFiles()) == len({r.shard for r in coded})
+    assert ids(d.kept_deliveries(again, store)) == [1001]
+    assert ids(d.kept_deliveries(again, d.SeenStore(spark, f"file://{tmp_path}/seen"))) == []
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(0, 300_000), max_size=200), st.lists(st.integers(0, 300_000), max_size=200), st.integers(0, 70_000))
 def test_bits_round_trip(a, b, run):
