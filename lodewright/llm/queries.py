@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodewright.llm import mixing, packing, pii, reading
+from lodewright.llm import mixing, nearest, packing, pii, reading
 from lodewright.llm.tokens import token_count
 from lodewright.session import cut_lineage, table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = (table(spark, sf_dir, n) for n in ("session_file_touches", "commits", "commit_files", "projects"))
+    return nearest.link_touches(*named).select("touch_id", "commit_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_mentions(table(spark, sf_dir, "session_events"), "delivery_id", "content")
     return found.select("delivery_id", "pii_type").distinct()
@@ -79,7 +84,30 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _levels(spark, sf_dir).groupBy(mixing.same_source(F.col("source")).alias("source"), "level").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_redacted, p6_windows, p6_attention_windows, p6_fill, p7_documents, p7_shares, p8_found, p8_levels, p8_profile)}
-
-#: None of these can be expressed in SQL; their tests compare with brute force, round trips and held-out labels.
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_redacted, p6_windows, p6_attention_windows, p6_fill, p7_documents, p7_shares, p8_found, p8_levels, p8_profile)}
+
+#: The others cannot be expressed in SQL; their tests compare with brute force, round trips and held-out labels.
+ORACLE: dict[str, str] = {
+    "p3_found": r"""
+with touch as (
+  select distinct t.touch_id, t.project_id, t.occurred_at, p.path as root, replace(t.file_path, chr(92), '/') as f
+  from session_file_touches t join projects p using (project_id)
+  where t.touch_kind in ('write', 'create', 'delete') and t.occurred_at is not null and t.commit_sha is null),
+steps as (
+  select touch_id, project_id, occurred_at,
+         list_filter(string_split(case when f like '/%' then f else root || '/' || f end, '/'), lambda x: x not in ('', '.')) as s
+  from touch),
+place as (
+  select touch_id, project_id, occurred_at,
+         list_reduce(list_prepend('', s), lambda a, x: case when x = '..' then regexp_replace(a, '/[^/]*$', '') else a || '/' || x end) as file
+  from steps),
+change as (
+  select distinct c.commit_id, c.authored_at, f.project_id, p.path || '/' || f.path as file
+  from commit_files f join commits c using (commit_id) join projects p on p.project_id = f.project_id),
+pairs as (
+  select t.touch_id, c.commit_id,
+         row_number() over (partition by t.touch_id order by abs(epoch_us(c.authored_at) - epoch_us(t.occurred_at)), c.authored_at, c.commit_id) as n
+  from place t join change c on c.project_id = t.project_id and c.file = t.file
+   and c.authored_at between t.occurred_at - interval 30 minute and t.occurred_at + interval 30 minute)
+select touch_id, commit_id from pairs where n = 1""",
+}
