@@ -1,11 +1,11 @@
-"""The queries of the general data problems: unreadable lines, instants, nearest in time, redeliveries."""
+"""The queries of the general data problems: unreadable lines, instants, redeliveries."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodewright.operators import dedup, instants, nearest, quarantine
+from lodewright.operators import dedup, instants, quarantine
 from lodewright.session import table
 
 
@@ -40,40 +40,13 @@ def p2_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return instants.normalise(rows, "decided_at", table(spark, sf_dir, "projects")).select("decision_id", F.timestamp_micros("instant_us").alias("decided_on"))
 
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = (table(spark, sf_dir, n) for n in ("session_file_touches", "commits", "commit_files", "projects"))
-    return nearest.link_touches(*named).select("touch_id", "commit_id")
-
-
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.redeliveries(table(spark, sf_dir, "session_events")).select("delivery_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p1_session_counts, p1_touches_loaded, p2_found, p2_decisions, p3_found, p4_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p1_session_counts, p1_touches_loaded, p2_found, p2_decisions, p4_found)}
 
 ORACLE = {
-    "p3_found": r"""
-with touch as (
-  select distinct t.touch_id, t.project_id, t.occurred_at, p.path as root, replace(t.file_path, chr(92), '/') as f
-  from session_file_touches t join projects p using (project_id)
-  where t.touch_kind in ('write', 'create', 'delete') and t.occurred_at is not null and t.commit_sha is null),
-steps as (
-  select touch_id, project_id, occurred_at,
-         list_filter(string_split(case when f like '/%' then f else root || '/' || f end, '/'), lambda x: x not in ('', '.')) as s
-  from touch),
-place as (
-  select touch_id, project_id, occurred_at,
-         list_reduce(list_prepend('', s), lambda a, x: case when x = '..' then regexp_replace(a, '/[^/]*$', '') else a || '/' || x end) as file
-  from steps),
-change as (
-  select distinct c.commit_id, c.authored_at, f.project_id, p.path || '/' || f.path as file
-  from commit_files f join commits c using (commit_id) join projects p on p.project_id = f.project_id),
-pairs as (
-  select t.touch_id, c.commit_id,
-         row_number() over (partition by t.touch_id order by abs(epoch_us(c.authored_at) - epoch_us(t.occurred_at)), c.authored_at, c.commit_id) as n
-  from place t join change c on c.project_id = t.project_id and c.file = t.file
-   and c.authored_at between t.occurred_at - interval 30 minute and t.occurred_at + interval 30 minute)
-select touch_id, commit_id from pairs where n = 1""",
     "p4_found": r"""
 select delivery_id from (
   select delivery_id, row_number() over (

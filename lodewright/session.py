@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
@@ -49,8 +48,8 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it in spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a folder of this machine is made and
-    set for the rest of the session.
+    Only on one machine (a local master, as in tests) a session need not name one: a folder of this machine is made and
+    set for the rest of the session. On a cluster that would lose data, so it is refused.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
@@ -59,6 +58,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lodewright-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -69,11 +70,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder for a table written between two jobs."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The test table of that name."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
