@@ -18,12 +18,15 @@ from pyspark.sql import functions as F
 
 #: Documents packed together; also the base of window numbers.
 GROUP_ROWS, GROUP_BASE = 20_000, 1 << 20
+#: The attention capacity of a window unless one is given, as a share of its squared tokens.
+ATTENTION_SHARE = 0.9
 
 
 @dataclass(frozen=True)
 class Budget:
-    """The capacities of a window. By default it holds a document for every 16 tokens, and attention cost, at most
-    the squared number of tokens, does not bind. A document beyond the attention budget gets a window to itself."""
+    """The capacities of a window. By default it holds a document for every 16 tokens and nine tenths of the attention cost
+    that one document of all its tokens has, so a document of more than 95 % of the tokens shares its window with none. A document beyond
+    the attention budget gets a window to itself."""
 
     tokens: int
     documents: int | None = None
@@ -32,7 +35,7 @@ class Budget:
 
     def capacities(self) -> np.ndarray:
         documents = max(1, self.tokens // 16) if self.documents is None else self.documents
-        return np.array([self.tokens, documents, float(self.tokens) ** 2 if self.attention is None else self.attention], dtype=float)
+        return np.array([self.tokens, documents, ATTENTION_SHARE * float(self.tokens) ** 2 if self.attention is None else self.attention], dtype=float)
 
 
 def best_fit(sizes: np.ndarray, budget: Budget) -> tuple[np.ndarray, np.ndarray]:

@@ -63,6 +63,21 @@ def test_operator(spark):
     assert pytest.approx(row.tokens) == sum(i % 97 + 1 for i in range(3000))
 
 
+def test_registered_query_packs_under_every_capacity(spark, monkeypatch):
+    from lodewright.llm import queries
+
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate([96] * 3 + [4] * 3 + [94] * 2 + [6] * 2 + [1] * 20)], "doc_id long, n_tokens int")
+    monkeypatch.setattr(queries, "_document_sizes", lambda spark, sf_dir: rows)
+    monkeypatch.setattr(queries, "table", lambda spark, sf_dir, name: spark.createDataFrame([("b", 100)], "budget_name string, capacity_tokens int"))
+    windows = {}
+    for r in queries.QUERIES["p6_windows"](spark, "").collect():
+        windows.setdefault(r.window, []).append(r.n_tokens)
+    # by tokens alone every 96 would take a 4 along, and all the small ones would share a window
+    assert sorted(map(sorted, (w for w in windows.values() if 96 in w))) == [[96]] * 3
+    assert sorted(map(sorted, (w for w in windows.values() if 94 in w))) == [[6, 94]] * 2
+    assert sum(map(len, windows.values())) == 30 and max(map(len, windows.values())) == 100 // 16
+
+
 def test_registered_query_packs_under_attention(spark, monkeypatch):
     from lodewright.llm import queries
 
