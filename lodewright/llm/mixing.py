@@ -3,8 +3,9 @@
 The corpus is counted in cells of source, language and topic. Raking fits the cells' token weights to the
 marginals: the sources' target shares, and the shares that languages and topics have in the corpus, as far as
 the cap on repeats leaves room. A cell's weight over its tokens is the expected number of uses of each of its
-documents; whole uses are given, the remaining fraction is drawn by systematic sampling in order of size, which
-carries the tokens owed from one document to the next, so that the drawn tokens stay close to their expectation.
+documents; whole uses are given, the remaining fraction is the document's probability of one more. Documents are drawn by
+systematic sampling in order of size: exactly with that probability each, and so that the tokens drawn differ from their
+expectation by no more than the largest document of the part has.
 
 Cells are those of the actual languages and topics. Where they are too many for the driver, the rarer topics are
 raked there in classes, and then each class by itself in a task, from its weights of source and language down to
@@ -13,6 +14,8 @@ the topics it holds, so that every topic still has a marginal of its own.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -80,18 +83,14 @@ def sizes(documents: DataFrame, n_tokens: Column, key: str = "doc_id") -> DataFr
     return cut_lineage(rows)
 
 
-def systematic(tokens: np.ndarray, chance: np.ndarray, start: float) -> np.ndarray:
-    """Which documents, by decreasing tokens, are drawn with these chances; start, from 0 to 1, decides where drawing begins.
+def systematic(chance: np.ndarray, start: float) -> np.ndarray:
+    """Which documents are drawn with these probabilities; start, uniform from 0 to 1, decides where counting begins.
 
-    Tokens owed are carried on, so what is drawn differs from the expectation by no more than about the last document.
+    A document is drawn where the running sum of the probabilities passes another whole number, so each is drawn exactly
+    with its own probability over all starts, and of any stretch as many as its sum to within one.
     """
-    owed, taken = 0.0, np.zeros(len(tokens), dtype=np.int32)
-    for i, (n, p) in enumerate(zip(tokens.tolist(), chance.tolist())):
-        owed += p * n
-        if p > 0 and owed >= start * n:
-            owed -= n
-            taken[i] = 1
-    return taken
+    passed = np.floor(np.cumsum(chance) + start + 1e-12)
+    return np.diff(passed, prepend=np.floor(start + 1e-12)).astype(np.int32)
 
 
 def _rates_of_classes(cells: DataFrame, shares: dict[str, float], repeats: dict[str, int], total: float | None) -> DataFrame:
@@ -129,7 +128,7 @@ def draw(sized: DataFrame, targets: DataFrame, mix: str, key: str = "doc_id", to
 
     Documents of sources outside the mix, without a source or without tokens are not used. A source of the mix
     without documents is left out, and the shares of the others are scaled up. Where a source is listed twice its shares add up and
-    the smaller cap holds. The draw depends on the keys only.
+    the smaller cap holds. The draw depends on the keys and the name of the mix only.
     """
     wanted = [r for r in targets.where(F.col("mix_name") == mix).select(same_source(F.col("source")).alias("source"), "target_share", "max_repeats").collect() if r.target_share > 0]
     shares: dict[str, float] = {}
@@ -162,8 +161,8 @@ def draw(sized: DataFrame, targets: DataFrame, mix: str, key: str = "doc_id", to
         rows = rows.sort_values(["n_tokens", "_number", "key"], ascending=[False, True, True], ignore_index=True)
         rate = rows["rate"].to_numpy()
         whole = np.floor(rate + 1e-9)
-        start = (int(rows["_number"].iloc[0]) % 997 + 0.5) / 997
-        extra = systematic(rows["n_tokens"].to_numpy(), np.maximum(rate - whole, 0.0), start)
+        start = float(np.random.default_rng([zlib.crc32(f"{mix}/{group[0]}".encode()), int(group[1])]).random())
+        extra = systematic(np.maximum(rate - whole, 0.0), start)
         rows["repeats"] = np.minimum(whole + extra, repeats[rows["source"].iloc[0]]).astype(np.int32)
         return rows.loc[rows["repeats"] > 0, ["key", "source", "n_tokens", "repeats"]]
 

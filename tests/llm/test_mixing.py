@@ -31,12 +31,28 @@ def test_systematic_stays_close_to_expectation():
     tokens = np.sort(rng.lognormal(5, 1.5, 400).astype(int) + 1)[::-1]
     for start in (0.01, 0.5, 0.99):
         for p in (0.05, 0.5, 0.93):
-            drawn = (mixing.systematic(tokens, np.full(400, p), start) * tokens).sum()
+            drawn = (mixing.systematic(np.full(400, p), start) * tokens).sum()
             assert abs(drawn - p * tokens.sum()) <= tokens[0] + 1
-    chances = np.zeros(400)
-    for k in range(200):
-        chances += mixing.systematic(tokens, np.full(400, 0.3), (k + 0.5) / 200)
-    assert abs(chances.mean() / 200 - 0.3) < 0.1
+
+
+def test_each_document_is_drawn_with_its_own_probability():
+    rng = np.random.default_rng(5)
+    chance = rng.random(300) * rng.integers(0, 2, 300)
+    drawn = np.mean([mixing.systematic(chance, (k + 0.5) / 2000) for k in range(2000)], axis=0)
+    assert np.abs(drawn - chance).max() <= 1 / 2000 + 1e-9
+    assert set(np.unique(mixing.systematic(chance, 0.3))) <= {0, 1}
+
+
+def test_inclusion_over_mixes_does_not_depend_on_size(spark):
+    rows = [(i, "ab"[i % 2], "en", "x/p-1", 1 + i // 2, None) for i in range(400)]
+    mixes = [f"m{k}" for k in range(10)]
+    targets = spark.createDataFrame([(m, s, 0.5, 1) for m in mixes for s in "ab"], "mix_name string, source string, target_share double, max_repeats int")
+    sized = mixing.sizes(spark.createDataFrame(rows, SCHEMA), F.col("n"))
+    used = np.zeros(400)
+    for m in mixes:
+        for r in mixing.draw(sized, targets, m, total=0.4 * 40_200).collect():
+            used[r.doc_id] += 1
+    assert [used[k : k + 100].mean() / len(mixes) for k in range(0, 400, 100)] == pytest.approx([0.4] * 4, abs=0.04)
 
 
 SCHEMA = "doc_id long, source string, lang string, doc_path string, n int, repeats string"
