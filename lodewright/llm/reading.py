@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEVELS = 5
-#: The most labels a model is trained on, and the most words it keeps, the most frequent first.
-MAX_LABELS, MAX_WORDS = 20_000, 200_000
+#: The most labels a model is trained on. It keeps every word of their documents, so this bounds the model as well.
+MAX_LABELS = 20_000
 #: The weight of the words' overall frequencies in each level's model.
 SMOOTHING = 0.2
 
@@ -90,7 +90,7 @@ def _marked(documents: DataFrame, labels: DataFrame, max_labels: int) -> DataFra
     return marked.dropDuplicates(["doc_id", "level"])
 
 
-def _fit_marked(marked: DataFrame, max_words: int) -> dict[str, LevelModel]:
+def _fit_marked(marked: DataFrame) -> dict[str, LevelModel]:
     """The model of each language of marked (columns lang, text, level, count)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,17 +103,15 @@ def _fit_marked(marked: DataFrame, max_words: int) -> dict[str, LevelModel]:
             yield pd.DataFrame([(*key, n) for key, n in total.items()], columns=["lang", "word", "level", "n"])
 
     per_level = marked.mapInPandas(count, "lang string, word string, level int, n long").groupBy("lang", "word").pivot("level", list(range(1, LEVELS + 1))).agg(F.sum("n")).na.fill(0)
-    total = sum((F.col(str(k)) for k in range(1, LEVELS + 1)), F.lit(0))
-    top = per_level.orderBy((F.col("word") != ""), total.desc(), "word", "lang").limit(max_words + 1).toPandas()
     counts: dict[str, dict[str, np.ndarray]] = {}
-    for lang, word, *n in top.itertuples(index=False):
+    for lang, word, *n in per_level.toPandas().itertuples(index=False):
         counts.setdefault(lang, {})[word] = np.array(n, dtype=float)
     return {lang: fit({w: c for w, c in of.items() if w}, of.get("", np.zeros(LEVELS))) for lang, of in sorted(counts.items())}
 
 
-def train(documents: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, max_words: int = MAX_WORDS) -> LevelModel:
+def train(documents: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> LevelModel:
     """The model of all labels, or of max_labels of them chosen by a hash. Each grader's label counts once."""
-    models = _fit_marked(_marked(documents, labels, max_labels).withColumn("lang", F.lit("")), max_words)
+    models = _fit_marked(_marked(documents, labels, max_labels).withColumn("lang", F.lit("")))
     return models.get("", fit({}, np.zeros(LEVELS)))
 
 
@@ -128,7 +126,7 @@ def lix_of_levels(documents: DataFrame, labels: DataFrame, max_labels: int = MAX
     return {r.level: r.lix for r in rows.groupBy("level").agg(F.median("lix").alias("lix")).collect()}
 
 
-def seed(documents: DataFrame, scale: dict[int, float], max_labels: int = MAX_LABELS, max_words: int = MAX_WORDS) -> tuple[LevelModel, ...]:
+def seed(documents: DataFrame, scale: dict[int, float], max_labels: int = MAX_LABELS) -> tuple[LevelModel, ...]:
     """A model for each lang of documents without labels, or of max_labels of them chosen by a hash: each has the level of the nearest LIX of scale."""
     if not scale:
         return ()
@@ -141,7 +139,7 @@ def seed(documents: DataFrame, scale: dict[int, float], max_labels: int = MAX_LA
     named = documents.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
     chosen = named.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
     marked = named.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    models = _fit_marked(marked.select("lang", "text", nearest("text").alias("level"), F.lit(1).alias("count")).where("level IS NOT NULL"), max_words)
+    models = _fit_marked(marked.select("lang", "text", nearest("text").alias("level"), F.lit(1).alias("count")).where("level IS NOT NULL"))
     return tuple(models.values())
 
 

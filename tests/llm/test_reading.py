@@ -46,8 +46,9 @@ def test_held_out_levels(spark):
 
 def test_bound_and_empty_tables(spark):
     docs, labels = corpus(spark, 60)
-    model = reading.train(docs, labels, max_labels=10, max_words=7)
-    assert len(model.words) <= 7
+    model = reading.train(docs, labels, max_labels=10)
+    marked = {r.text for r in reading._marked(docs, labels, 10).collect()}
+    assert set(model.words) == {w for t in marked for w in reading.prose_words(t)} and 1 <= len(marked) <= 10
     empty = reading.train(docs.limit(0), labels.limit(0))
     assert {r.level for r in reading.estimate(docs, empty).collect()} == {None}
     assert reading.estimate(docs.limit(0), model).count() == 0
