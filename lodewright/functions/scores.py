@@ -33,6 +33,17 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
+def signed_general(x: Column) -> Column:
+    """x with its sign and at most six significant digits, without trailing zeros, as C's %+g prints it."""
+    digits = F.format_string("%+.5e", x)
+    power = F.regexp_extract(digits, r"e([+-]\d+)$", 1).cast("int")
+    # six significant digits in plain notation, then without trailing zeros
+    plain = F.regexp_replace(digits.cast("decimal(38,18)").cast("string"), r"(\.\d*?)0+$", "$1")
+    plain = F.concat(F.when(x >= 0, "+").otherwise(""), F.regexp_replace(plain, r"\.$", ""))
+    short = F.regexp_replace(F.regexp_replace(digits, r"0+e", "e"), r"\.e", "e")
+    return F.when(x == 0, "+0").when(power.between(-4, 5), plain).otherwise(short)
+
+
 def guarded_ratio(x: Column, y: Column) -> Column:
     """x over y, where a y below one counts as one."""
     return x / F.greatest(y, F.lit(1))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 DAY_US = 86_400_000_000
+HOUR_US = DAY_US // 24
 
 
 def _bucket(us: Column, width: int) -> Column:
@@ -30,7 +31,7 @@ def asof_join(
     direction: str = "backward",
     inclusive: bool = True,
     prefix: str = "matched_",
-    bucket_us: int = 30 * DAY_US,
+    bucket_us: int = DAY_US,
 ) -> DataFrame:
     """Every left row with the columns take of the nearest right row of the same entity, before it or after it.
 
@@ -84,7 +85,7 @@ def within(matched: Column, anchor: Column, days: int) -> Column:
     return F.abs(F.unix_micros(matched) - F.unix_micros(anchor)) <= F.lit(days * DAY_US)
 
 
-def numbered(events: DataFrame, by: str | list[str], time: str, key: str, bucket_us: int = DAY_US) -> DataFrame:
+def numbered(events: DataFrame, by: str | list[str], time: str, key: str, bucket_us: int = HOUR_US) -> DataFrame:
     """events with _rank: their number in their entity by (time, key), from 1, counted bucket by bucket.
 
     Rows with a null entity or time are left out.
@@ -99,3 +100,19 @@ def numbered(events: DataFrame, by: str | list[str], time: str, key: str, bucket
     offsets = counts.select(*by, "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(time, key))
     return rows.join(offsets, [*by, "_bucket"]).withColumn("_rank", F.col("_before") + inside).drop("_bucket", "_before")
+
+
+def running_total(events: DataFrame, by: list[str], us: str, order: str, value: str, bucket_us: int = HOUR_US) -> DataFrame:
+    """events with _total: the sum of value over the rows of the entity up to and with a row, by (us, order), counted bucket by bucket.
+
+    Rows that are equal in both count together. Rows with a null entity or time are left out.
+    """
+    known = F.col(us).isNotNull()
+    for c in by:
+        known = known & F.col(c).isNotNull()
+    rows = events.where(known).withColumn("_bucket", _bucket(F.col(us), bucket_us))
+    sums = rows.groupBy(*by, "_bucket").agg(F.sum(value).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.select(*by, "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.sum(value).over(Window.partitionBy(*by, "_bucket").orderBy(us, order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.join(offsets, [*by, "_bucket"]).withColumn("_total", F.col("_before") + inside).drop("_bucket", "_before")

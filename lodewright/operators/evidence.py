@@ -18,13 +18,15 @@ WRITES = ("write", "create", "delete")
 def link_forward(touches: DataFrame, history: DataFrame) -> DataFrame:
     """Each unlinked change with the first commit of its file at or after it: adds linked_commit_id and linked_at.
 
-    history has project_id, path, commit_id and authored_at. Of commits at the same time the smallest id counts.
+    history has project_id, path, commit_id, authored_at and, where known, committed_at. Of commits authored at the same time the
+    one committed first counts, then the smallest id.
     Changes that no commit followed stay, with nulls: they are uncommitted.
     """
     open_changes = touches.where(F.col("touch_kind").isin(*WRITES) & F.col("commit_sha").isNull() & F.col("occurred_at").isNotNull()).distinct()
-    later = history.select("project_id", F.col("path").alias("file_path"), "commit_id", "authored_at")
+    later = history.select("project_id", F.col("path").alias("file_path"), "commit_id", "authored_at", *[c for c in ("committed_at",) if c in history.columns])
+    ties = [F.col(c) for c in ("committed_at", "commit_id") if c in later.columns]
     linked = asof_join(
-        open_changes, later, by=["project_id", "file_path"], left_time="occurred_at", right_time="authored_at", take=["commit_id"], direction="forward", prefix="linked_"
+        open_changes, later, by=["project_id", "file_path"], left_time="occurred_at", right_time="authored_at", take=["commit_id"], order=ties, direction="forward", prefix="linked_"
     )
     return linked.withColumnRenamed("linked_authored_at", "linked_at")
 

@@ -106,7 +106,7 @@ def abstractness(files: DataFrame, module: Column) -> DataFrame:
     """project_id, module, types, abstract: files by module, and those whose names suggest abstract types; tests are no types."""
     name = base_name(F.col("path"))
     stem = F.regexp_replace(name, r"(?<=[^.])\.[^.]+$", "")
-    hints = stem.rlike(r"^(\p{Lu}|interface|abs_|base_|abstract_|Abstract|Base|I)") | name.endswith(".h")
+    hints = stem.rlike(r"^(\p{Lu}|interface|abs_|base_|abstract_)") | name.endswith(".h")
     test = F.lit(False)
     for end in TEST_ENDS:
         test = test | F.col("path").endswith(end)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodewright.functions.scores import ANALYZER_WEIGHTS, band, rounded
+from lodewright.functions.scores import ANALYZER_WEIGHTS, band, rounded, signed_general
 from lodewright.functions.text import clean_text
 
 TOP_FINDINGS = 200
@@ -18,7 +18,10 @@ SEVERITIES = ("critical", "high", "medium", "low", "info")
 SARIF_LEVELS = {"critical": "error", "high": "error", "medium": "warning", "low": "note", "info": "note"}
 CODE_QUALITY = {"critical": "blocker", "high": "critical", "medium": "major", "low": "minor", "info": "info"}
 NOISE = 1.0
+#: The most decisions named and moves listed in one explanation.
+NAMED, MOVES = 3, 100
 # The wording of explanations.
+TRACED, TOUCHED, SINCE, AUTHORED = "Traced to ", " decision(s) touch it: ", "Since then: ", "% of its current lines are AI-authored ("
 NO_EVIDENCE = "no fusion evidence — not touched by a recorded agent session."
 NO_HUMAN = "no human share claimed"
 NO_SHARE = "); a line-share has not been computed."
@@ -162,22 +165,31 @@ def explain(files: DataFrame, decisions: DataFrame, moves: DataFrame) -> DataFra
 
     files has project_id, file_path and, where known, base_risk, ai, unattributed, human, share_confidence, writes, reads, sessions, strength and
     weighted_risk; decisions has project_id, file_path, decision_id and summary; moves has decision_id, metric, delta and claim. A file's
-    factors leave out what is not known. The prose is made of the factors alone.
+    factors leave out what is not known. The prose is made of the factors alone; of a file's moves the first hundred are
+    listed and the rest counted.
     """
-    named = decisions.groupBy("project_id", "file_path").agg(F.sort_array(F.collect_set(F.struct("decision_id", F.col("summary").alias("s")))).alias("_d"))
-    moved = decisions.select("project_id", "file_path", "decision_id").distinct().join(moves.where("delta IS NOT NULL"), "decision_id")
-    phrase = F.when(F.col("claim") == "none", NO_CHANGE).otherwise(F.format_string("%s %+.3f (%s)", "metric", "delta", "claim"))
-    then = moved.groupBy("project_id", "file_path").agg(
-        F.sort_array(F.collect_list(F.struct("decision_id", "metric", phrase.alias("p")))).alias("_m"), F.max(F.col("claim") != "none").alias("_any")
-    )
-    all_ = files.join(named, ["project_id", "file_path"], "left").join(then, ["project_id", "file_path"], "left")
+    key = ["project_id", "file_path"]
+    once = decisions.groupBy(*key, "decision_id", F.col("summary").alias("s")).agg(F.lit(1).alias("_one"))
+
+    def first_few(rows: DataFrame, order: list[str], most: int) -> DataFrame:
+        return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("_n") <= most)
+
+    # Counted in one pass and listed in another, which stops at the first few where rows are read: no list grows with its file.
+    named = once.groupBy(*key).agg(F.count("*").alias("_dn"))
+    named = named.join(first_few(once, ["decision_id", "s"], NAMED).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("decision_id", "s"))).alias("_d")), key)
+    moved = decisions.select(*key, "decision_id").distinct().join(moves.where("delta IS NOT NULL"), "decision_id")
+    phrase = F.when(F.col("claim") == "none", NO_CHANGE).otherwise(F.concat("metric", F.lit(" "), signed_general(F.col("delta")), F.lit(" ("), "claim", F.lit(")")))
+    then = moved.groupBy(*key).agg(F.count("*").alias("_mn"), F.max(F.col("claim") != "none").alias("_any"))
+    listed = first_few(moved, ["decision_id", "metric", "delta"], MOVES).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("decision_id", "metric", "delta", phrase.alias("p")))).alias("_m"))
+    then = then.join(listed, key)
+    all_ = files.join(named, key, "left").join(then, key, "left")
     wrote = F.coalesce(F.col("strength"), F.lit(0.0)) > 0
     human = F.when(F.col("human") > 0, F.concat(_whole(F.col("human")), F.lit("% human"))).otherwise(F.lit(NO_HUMAN))
     share = F.concat(
-        _whole(F.col("ai")), F.lit("% of its current lines are AI-authored ("), _whole(F.col("unattributed")), F.lit("% unattributed, "), human, F.lit("), at confidence "), F.format_string("%.2f", "share_confidence"), F.lit(".")
+        _whole(F.col("ai")), F.lit(AUTHORED), _whole(F.col("unattributed")), F.lit("% unattributed, "), human, F.lit("), at confidence "), F.format_string("%.2f", "share_confidence"), F.lit(".")
     )
-    n = F.size("_d")
-    names = F.array_join(F.transform(F.slice("_d", 1, 3), lambda x: F.concat(F.lit("“"), clean_text(x["s"]), F.lit("”"))), "; ")
+    n = F.col("_dn")
+    names = F.array_join(F.transform("_d", lambda x: F.concat(F.lit("“"), clean_text(x["s"]), F.lit("”"))), "; ")
     factor = lambda name, when, text: F.when(when, F.struct(F.lit(name).alias("name"), text.alias("statement")))
     factors = F.array_compact(
         F.array(
@@ -185,9 +197,9 @@ def explain(files: DataFrame, decisions: DataFrame, moves: DataFrame) -> DataFra
             factor("ai_authorship", F.col("ai").isNotNull(), share),
             factor("ai_evidence", F.col("ai").isNull() & wrote, F.concat(F.lit("an agent has write evidence on it (strength "), F.format_string("%.2f", "strength"), F.lit(NO_SHARE))),
             factor("weighted_risk", F.col("base_risk").isNotNull() & wrote & (F.round(F.col("weighted_risk").cast("decimal(38,12)"), 0) > 0), F.concat(F.lit("about "), _whole(F.col("weighted_risk")), F.lit(UNDER_AGENTS))),
-            factor("sessions", F.coalesce("sessions", F.lit(0)) > 0, F.concat(F.lit("Traced to "), F.col("sessions").cast("string"), F.when(F.col("sessions") == 1, " agent session (").otherwise(" agent sessions ("), F.col("writes").cast("string"), F.lit(" write, "), F.col("reads").cast("string"), F.lit(" read)."))),
-            factor("decisions", n > 0, F.concat(n.cast("string"), F.lit(" decision(s) touch it: "), names, F.when(n > 3, F.concat(F.lit(", and "), (n - 3).cast("string"), F.lit(" more"))).otherwise(""), F.lit("."))),
-            factor("consequences", F.size("_m") > 0, F.concat(F.lit("Since then: "), F.array_join(F.transform("_m", lambda x: x["p"]), ", "), F.when(F.col("_any"), NOT_CAUSE).otherwise("."))),
+            factor("sessions", F.coalesce("sessions", F.lit(0)) > 0, F.concat(F.lit(TRACED), F.col("sessions").cast("string"), F.when(F.col("sessions") == 1, " agent session (").otherwise(" agent sessions ("), F.col("writes").cast("string"), F.lit(" write, "), F.col("reads").cast("string"), F.lit(" read)."))),
+            factor("decisions", n > 0, F.concat(n.cast("string"), F.lit(TOUCHED), names, F.when(n > NAMED, F.concat(F.lit(", and "), (n - NAMED).cast("string"), F.lit(" more"))).otherwise(""), F.lit("."))),
+            factor("consequences", F.col("_mn") > 0, F.concat(F.lit(SINCE), F.array_join(F.transform("_m", lambda x: x["p"]), ", "), F.when(F.col("_mn") > MOVES, F.concat(F.lit(", and "), (F.col("_mn") - MOVES).cast("string"), F.lit(" more"))).otherwise(""), F.when(F.col("_any"), NOT_CAUSE).otherwise("."))),
         )
     )
     out = all_.withColumn("factors", factors)

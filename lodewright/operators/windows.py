@@ -8,9 +8,9 @@ from pyspark.sql.window import Window
 
 from lodewright.functions.scores import rounded
 from lodewright.operators.asof import numbered
+from lodewright.session import cut_lineage
 
-
-CHUNK_ROWS, VALUE_BUCKETS = 100_000, 1024
+CHUNK_ROWS = 100_000
 
 
 def _in_chunks(samples: DataFrame, by: list[str], time: str, key: str, lead_in: int) -> DataFrame:
@@ -45,17 +45,17 @@ def change(samples: DataFrame, by: list[str], time: str, value: str, key: str) -
 def global_rank(rows: DataFrame, value: str, name: str = "place") -> DataFrame:
     """rows with their rank by value, the largest first, equal values alike, nulls without a rank.
 
-    Values fall into ranges of equal width; how many rows lie above a range is a sum over at most a thousand counts, and only
-    the rows of one range are ordered together.
+    Each distinct value is counted first, so ties cost one row, and the values are dealt by ranges that hold about as many of
+    them each, wherever they lie. What lies above a range is a sum over one number for each range.
     """
-    ends = rows.agg(F.min(value).alias("a"), F.max(value).alias("b")).first()
-    low, width = float(ends["a"] or 0), max(float(ends["b"] or 0) - float(ends["a"] or 0), 1e-300)
-    bucketed = rows.withColumn("_bucket", F.floor((F.col(value) - F.lit(low)) / F.lit(width) * VALUE_BUCKETS))
-    counts = bucketed.where("_bucket IS NOT NULL").groupBy("_bucket").agg(F.count("*").alias("_n"))
-    above = counts.select(F.col("_bucket").alias("_b"), (F.sum("_n").over(Window.orderBy(F.desc("_bucket"))) - F.col("_n")).alias("_above"))
-    inside = F.rank().over(Window.partitionBy("_bucket").orderBy(F.desc(value)))
-    ranked = bucketed.join(above, F.col("_bucket") == F.col("_b"), "left").withColumn(name, F.when(F.col("_above").isNotNull(), F.col("_above") + inside))
-    return ranked.drop("_bucket", "_b", "_above")
+    counted = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_value")).agg(F.count("*").alias("_n"))
+    # Ranges are drawn anew whenever they are computed, so what was dealt is written before it is read twice.
+    dealt = cut_lineage(counted.repartitionByRange(F.desc("_value")).withColumn("_part", F.spark_partition_id()))
+    sums = dealt.groupBy("_part").agg(F.sum("_n").alias("_of_part"))
+    above = sums.select("_part", (F.sum("_of_part").over(Window.orderBy("_part")) - F.col("_of_part")).alias("_above"))
+    inside = F.sum("_n").over(Window.partitionBy("_part").orderBy(F.desc("_value"))) - F.col("_n")
+    places = dealt.withColumn("_inside", inside).join(above, "_part").select("_value", (F.col("_above") + F.col("_inside") + 1).alias(name))
+    return rows.drop(name).join(places, F.col(value) == F.col("_value"), "left").drop("_value")
 
 
 def bursts(events: DataFrame, key: list[str], time: str, gap: str = "2 seconds") -> DataFrame:

@@ -25,8 +25,8 @@ def touches(spark, sf_dir):
 
 
 def _history(spark, sf_dir):
-    changed = h.changes(table(spark, sf_dir, "commits"), table(spark, sf_dir, "commit_files"))
-    return changed.select("project_id", "path", "commit_id", F.col("at").alias("authored_at"))
+    files = table(spark, sf_dir, "commit_files").select("commit_id", "project_id", "path").distinct()
+    return files.join(table(spark, sf_dir, "commits").select("commit_id", "authored_at", "committed_at"), "commit_id")
 
 
 def samples(spark, sf_dir):
@@ -34,8 +34,10 @@ def samples(spark, sf_dir):
 
 
 def anchors(spark, sf_dir):
-    return table(spark, sf_dir, "commits").select(
-        F.col("commit_id").alias("anchor_id"), "project_id", F.col("authored_at").alias("starts_at"), F.substring_index("message", "\n", 1).alias("summary")
+    """Commits, each about the first of its files by name."""
+    files = table(spark, sf_dir, "commit_files").groupBy("commit_id").agg(F.min("path").alias("file_path"))
+    return table(spark, sf_dir, "commits").join(files, "commit_id", "left").select(
+        F.col("commit_id").alias("anchor_id"), "project_id", F.col("authored_at").alias("starts_at"), F.substring_index("message", "\n", 1).alias("summary"), "file_path"
     )
 
 
@@ -71,11 +73,17 @@ def asof_last_commit_before_turn(spark, sf_dir):
 
 
 def interval_confounders(spark, sf_dir):
-    return q.confounders(anchors(spark, sf_dir)).select("anchor_id", "confounders", F.size("sample").cast("bigint").alias("listed"), F.get("sample", 0).alias("first"))
+    found = q.confounders(anchors(spark, sf_dir), touches=touches(spark, sf_dir))
+    return found.select("anchor_id", "confounders", F.size("sample").cast("bigint").alias("listed"), F.get("sample", 0).alias("first"))
+
+
+def file_confounders(spark, sf_dir):
+    """Commits whose first file agent sessions changed in the 30 days after, with the number of these sessions."""
+    return q.same_file_sessions(anchors(spark, sf_dir), touches(spark, sf_dir)).where("sessions > 0")
 
 
 def consequence_delta(spark, sf_dir):
-    return q.consequences(anchors(spark, sf_dir), samples(spark, sf_dir))
+    return q.consequences(anchors(spark, sf_dir), samples(spark, sf_dir), touches=touches(spark, sf_dir))
 
 
 def session_consequences(spark, sf_dir):
@@ -114,7 +122,7 @@ def latest_touch_per_file(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        asof_forward_link, asof_uncommitted, asof_backward_baseline, asof_bounded_observed, asof_last_commit_before_turn, interval_confounders, consequence_delta, session_consequences,
+        asof_forward_link, asof_uncommitted, asof_backward_baseline, asof_bounded_observed, asof_last_commit_before_turn, interval_confounders, file_confounders, consequence_delta, session_consequences,
         evidence_by_file, weighted_risk, max_per_commit, share_split, latest_touch_per_file,
     )
 }
@@ -129,16 +137,18 @@ touches as (
   from (select *, list_reduce(list_prepend('', s), lambda a, x: case when x = '..' then regexp_replace(a, '/[^/]*$', '') else a || '/' || x end) as f from steps))"""
 HISTORY = """
 history as (
-  select f.project_id, f.path, f.commit_id, c.authored_at
+  select f.project_id, f.path, f.commit_id, c.authored_at, c.committed_at
   from (select distinct commit_id, project_id, path, added, removed from commit_files) f join commits c using (commit_id))"""
 _LINKED = f"""{TOUCHES}, {HISTORY},
 linked as (
-  select t.touch_id, t.project_id, arg_min(h.commit_id, (h.authored_at, h.commit_id)) as linked_commit_id, min(h.authored_at) as linked_at
+  select t.touch_id, t.project_id, arg_min(h.commit_id, (h.authored_at, h.committed_at, h.commit_id)) as linked_commit_id, min(h.authored_at) as linked_at
   from touches t left join history h on h.project_id = t.project_id and h.path = t.file_path and h.authored_at >= t.occurred_at
   where t.touch_kind in ('write', 'create', 'delete') and t.commit_sha is null and t.occurred_at is not null
   group by all)"""
 SAMPLES = "samples as (select user_id % 60 + 1 as project_id, event_type as metric, value, ts as measured_at from events)"
-ANCHORS = "anchors as (select commit_id as anchor_id, project_id, authored_at as starts_at, string_split(message, chr(10))[1] as summary from commits)"
+ANCHORS = f"""{TOUCHES}, anchors as (
+  select commit_id as anchor_id, c.project_id, authored_at as starts_at, string_split(message, chr(10))[1] as summary, file_path
+  from commits c left join (select commit_id, min(path) as file_path from commit_files group by all) using (commit_id))"""
 _ASKED = f"{ANCHORS}, {SAMPLES}, asked as (select a.*, m.metric from anchors a join (select distinct project_id, metric from samples) m using (project_id))"
 _BASE = """
 base as (
@@ -150,10 +160,15 @@ seen as (
   from asked a left join samples s on s.project_id = a.project_id and s.metric = a.metric
    and s.measured_at::timestamp > a.starts_at::timestamp and s.measured_at::timestamp <= a.starts_at::timestamp + interval 30 day group by all)"""
 _CONF = """
+near as (
+  select a.anchor_id, count(distinct t.session_id) as sessions, min('the file was also modified in agent session ' || chr(39) || t.session_id || chr(39) || ' during the window') as note
+  from anchors a join touches t on t.project_id = a.project_id and t.file_path = a.file_path and t.touch_kind in ('write', 'create', 'delete')
+   and t.occurred_at >= a.starts_at and t.occurred_at <= a.starts_at + interval 30 day group by all),
 conf as (
-  select a.anchor_id, count(b.anchor_id) as confounders, arg_min(b.summary, (b.starts_at, b.anchor_id)) as first
-  from anchors a left join anchors b on b.project_id = a.project_id and b.anchor_id <> a.anchor_id and b.starts_at >= a.starts_at and b.starts_at <= a.starts_at + interval 30 day
-  group by all)"""
+  select anchor_id, n + coalesce(sessions, 0) as confounders, coalesce(first, note) as first from (
+    select a.anchor_id, count(b.anchor_id) as n, arg_min(b.summary, (b.starts_at, b.anchor_id)) as first
+    from anchors a left join anchors b on b.project_id = a.project_id and b.anchor_id <> a.anchor_id and b.starts_at >= a.starts_at and b.starts_at <= a.starts_at + interval 30 day
+    group by all) left join near using (anchor_id))"""
 EVIDENCE = """
 evidence as (
   select project_id, file_path, count(*) filter (touch_kind in ('write', 'create')) as writes, count(*) filter (touch_kind = 'read') as reads,
@@ -189,6 +204,7 @@ with first as (select session_id, project_id, min(occurred_at) as first_at from
 select session_id, arg_max(commit_id, (authored_at, -commit_id)) as matched_commit_id
 from first f left join commits c on c.project_id = f.project_id and c.authored_at < f.first_at group by session_id, f.project_id""",
     "interval_confounders": f"with {ANCHORS}, {_CONF} select anchor_id, confounders, least(confounders, 51) as listed, first from conf",
+    "file_confounders": f"with {ANCHORS}, {_CONF} select anchor_id, sessions from near",
     "consequence_delta": f"""with {_ASKED}, {_BASE}, {_SEEN}, {_CONF}
 select anchor_id, project_id, metric, {_R3.format('base_value')} as baseline, {_R3.format('seen_value')} as observed, {_R3.format('seen_value - base_value')} as delta,
        case when abs(seen_value - base_value) < 1 then 'none' else 'correlation' end as claim, confounders,

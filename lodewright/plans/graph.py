@@ -82,7 +82,7 @@ coupled as (
   from (select d.*, fan_out / greatest(fan_in + fan_out, 1) as i, case when coalesce(types, 0) > 0 then least(1.0::double, abstract / types) else 0.0::double end as a
         from degrees d left join (
           select project_id, string_split(path, '/')[1] as module, count(*) filter (not regexp_matches(path, '(test\.py|_test\.go|\.test\.ts|Test\.java|\.spec\.ts)$')) as types,
-                 count(*) filter (regexp_matches(string_split(path, '/')[-1], '^(\p{Lu}|interface|abs_|base_|abstract_|Abstract|Base|I)|\.h$')) as abstract
+                 count(*) filter (regexp_matches(string_split(path, '/')[-1], '^(\p{Lu}|interface|abs_|base_|abstract_)|\.h$')) as abstract
           from (select distinct project_id, path from commit_files) group by all) using (project_id, module)))"""
 _REACH = """
 reach as (select project_id, src as a, dst as b from edges union select r.project_id, r.a, e.dst from reach r join edges e on e.project_id = r.project_id and e.src = r.b),

@@ -126,7 +126,7 @@ def _explained(spark, sf_dir):
     mined = d.commit_decisions(table(spark, sf_dir, "commits"))
     files = d.decision_files(mined, table(spark, sf_dir, "commit_files"))
     about = files.join(mined.select("decision_id", "summary"), "decision_id").select("project_id", F.col("path").alias("file_path"), "decision_id", "summary")
-    moves = q.consequences(fusion.anchors(spark, sf_dir), fusion.samples(spark, sf_dir)).select(F.col("anchor_id").alias("decision_id"), "metric", "delta", "claim")
+    moves = fusion.consequence_delta(spark, sf_dir).select(F.col("anchor_id").alias("decision_id"), "metric", "delta", "claim")
     return r.explain(risk.join(shares, ["project_id", "file_path"], "left"), about, moves)
 
 
@@ -184,9 +184,11 @@ risk as ({_FUS['weighted_risk']}), share as ({_FUS['share_split']}), moves as ({
 about as (select distinct c.project_id, f.path as file_path, c.commit_id as decision_id, coalesce(nullif(trim(string_split(c.message, chr(10))[1]), ''), '(no subject)') as summary
           from commits c join commit_files f using (sha)),
 named as (select project_id, file_path, count(*) as n, list(summary order by decision_id) as s from about group by all),
-gone as (select a.project_id, a.file_path, string_agg(case when m.claim = 'none' then 'no discernible change' else m.metric || ' ' || format('{{:+.3f}}', m.delta) || ' (' || m.claim || ')' end, ', '
-             order by a.decision_id, m.metric) as p, bool_or(m.claim <> 'none') as some
-         from about a join moves m on m.anchor_id = a.decision_id group by a.project_id, a.file_path),
+moved as (select a.project_id, a.file_path, a.decision_id, m.*, row_number() over (partition by a.project_id, a.file_path order by a.decision_id, m.metric) as k,
+                 count(*) over (partition by a.project_id, a.file_path) as whole from about a join moves m on m.anchor_id = a.decision_id),
+gone as (select project_id, file_path, string_agg(case when claim = 'none' then 'no discernible change' else metric || ' ' || format('{{:+g}}', delta) || ' (' || claim || ')' end, ', '
+             order by decision_id, metric) filter (k <= 100) || case when max(whole) > 100 then ', and ' || (max(whole) - 100) || ' more' else '' end as p, bool_or(claim <> 'none') as some
+         from moved group by project_id, file_path),
 facts as (
   select r.project_id, r.file_path, [
     ('risk', 'risk ' || {_WHOLE.format('base_risk')} || '/100.'),

@@ -9,7 +9,7 @@ from lodewright.functions.paths import module_of
 from lodewright.functions.scores import rounded, severity_weight
 from lodewright.functions.text import clean_text, log_safe, metric_path
 from lodewright.operators import windows as w
-from lodewright.plans.fusion import touches
+from lodewright.plans.fusion import TOUCHES, touches
 from lodewright.session import as_micros, table
 
 
@@ -148,7 +148,8 @@ def set_status_changed(spark, sf_dir):
 
 def text_clean(spark, sf_dir):
     rows = table(spark, sf_dir, "session_events").where("content IS NOT NULL")
-    return rows.select("delivery_id", F.length(clean_text(F.col("content"))).cast("bigint").alias("chars"), F.length(log_safe(F.col("content"), 60)).cast("bigint").alias("logged"))
+    marked = F.concat(F.lit("\x1b[1m\u202e\r"), F.col("content"), F.lit("\x1b]0;t\x07\x1b[0m\u200e"))
+    return rows.select("delivery_id", F.md5(clean_text(marked).cast("binary")).alias("clean"), F.md5(log_safe(F.col("content"), 60).cast("binary")).alias("logged"))
 
 
 def path_modules(spark, sf_dir):
@@ -185,8 +186,8 @@ select *, row_number() over (order by last_commit desc nulls last, project_id) a
     "list_commits": "select c.commit_id, p.name, c.sha, epoch_us(c.authored_at) as authored_at from (select * from commits order by authored_at desc, commit_id limit 50) c join projects p using (project_id)",
     "list_touches_of_file": """select project_id, touch_kind, touch_id, session_id from (
   select *, row_number() over (partition by project_id, touch_kind order by occurred_at desc, touch_id desc) as n from (select distinct * from session_file_touches where occurred_at is not null)) where n = 1""",
-    "semi_touched_files": "select distinct project_id, path from commit_files where (project_id, path) in (select (project_id, file_path) from session_file_touches where touch_kind in ('write', 'create'))",
-    "anti_untouched_files": "select distinct f.project_id, f.path from commit_files f where not exists (select 1 from session_file_touches t where t.project_id = f.project_id and t.file_path = f.path)",
+    "semi_touched_files": f"with {TOUCHES} select distinct project_id, path from commit_files where (project_id, path) in (select (project_id, file_path) from touches where touch_kind in ('write', 'create'))",
+    "anti_untouched_files": f"with {TOUCHES} select distinct f.project_id, f.path from commit_files f where not exists (select 1 from touches t where t.project_id = f.project_id and t.file_path = f.path)",
     "three_way_latest": """
 select r_name, arg_max(o_orderkey, (o_orderdate, o_orderkey)) as o_orderkey, count(*) as orders
 from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by r_name""",
@@ -216,8 +217,8 @@ with n as (select project_id, source, lower(status) as status, count(*) as n fro
 top as (select project_id, source, arg_min(status, (-n, status)) as status from n group by all)
 select a.project_id, a.status, b.status as other from top a join top b using (project_id) where a.source = 'adr' and b.source = 'issue' and a.status <> b.status""",
     "text_clean": r"""
-select delivery_id, length(regexp_replace(content, '\x1B\[[0-?]*[ -/]*[@-~]|[\x00-\x08\x0B-\x1F\x7F]|[\x{200E}\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}]', '', 'g')) as chars,
-       case when length(p) > 60 then 60 + length('...[truncated]') else length(p) end as logged
+select delivery_id, md5(chr(13) || regexp_replace(content, '\x1B\[[0-9;?]*[ -/]*[@-~]|[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]|[\x{202A}-\x{202E}\x{2066}-\x{2069}]', '', 'g') || chr(8206)) as clean,
+       md5(case when length(p) > 60 then left(p, 60) || '...[truncated]' else p end) as logged
 from (select *, regexp_replace(content, '[\x00-\x1F\x7F]', '', 'g') as p from session_events where content is not null)""",
     "path_modules": r"""select doc_id, regexp_replace(doc_path, '([^/.])\.[^./]+$', '\1') as module, '/' || regexp_replace(doc_path, '([/-])\d+([/.]|$)', '\1{id}\2', 'g') as label from documents""",
     "severity_weights": """select case left(o_orderpriority, 1) when '1' then 'critical' when '2' then 'high' when '3' then 'medium' when '4' then 'low' else 'info' end as severity, count(*) as n,

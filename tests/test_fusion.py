@@ -100,6 +100,35 @@ def test_many_confounders_are_sampled(spark):
         assert got[i].sample == listed + ([f"... and {len(others) - 50} more decision(s) in this window"] if len(others) > 50 else [])
 
 
+def test_sessions_that_changed_the_same_file_confound(spark):
+    rng = random.Random(4)
+    anchors = [(i, 1, T0 + timedelta(hours=rng.randrange(24 * 90)), f"a{i}", rng.choice(["f", "g", None])) for i in range(60)]
+    touches = [(i, 1, rng.choice("fg"), f"s{rng.randrange(9)}", rng.choice(["write", "create", "delete", "read"]), T0 + timedelta(hours=rng.randrange(24 * 120))) for i in range(150)]
+    touches += [(900, 1, "f", "s1", "write", None), (901, 2, "f", "other", "write", T0), (902, 1, "f", None, "write", T0)]
+    # at the very start and the very end of a window
+    touches += [(903, 1, "f", "edge", "write", next(a[2] for a in anchors if a[4] == "f")), (904, 1, "f", "far", "write", next(a[2] for a in anchors if a[4] == "f") + 30 * D)]
+    a = spark.createDataFrame(anchors, ANCHOR + ", file_path string")
+    t = spark.createDataFrame(touches, "touch_id long, project_id long, file_path string, session_id string, touch_kind string, occurred_at timestamp")
+    got = {r.anchor_id: r for r in q.confounders(a, touches=t).collect()}
+    counted = {r.anchor_id: r.sessions for r in q.same_file_sessions(a, t).collect()}
+    for i, _, at, _, file in anchors:
+        near = {s for _, p, f, s, k, when in touches if p == 1 and f == file and s and k != "read" and when and at <= when <= at + 30 * D}
+        others = [x for x in anchors if x[0] != i and at <= x[2] <= at + 30 * D]
+        assert counted.get(i, 0) == len(near) and got[i].confounders == len(near) + len(others)
+        assert {x for x in got[i].sample if "session" in x} == {f"the file was also modified in agent session '{s}' during the window" for s in near} or len(others) + len(near) > 50
+    samples = spark.createDataFrame([(1, "m", 40.0, T0 - D), (1, "m", 55.0, T0 + 20 * D)], SAMPLE)
+    one = spark.createDataFrame([(1, 1, T0 + 5 * D, "x", "h")], ANCHOR + ", file_path string")
+    other = spark.createDataFrame([(1, 1, "h", "other-sess", "write", T0 + 15 * D)], t.schema)
+    assert q.consequences(one, samples, touches=other).first().confidence == 0.3 and q.consequences(one, samples).first().confidence == 0.6
+
+
+def test_of_commits_at_the_same_time_the_one_committed_first_counts(spark):
+    touches = spark.createDataFrame([(1, 1, "f", "write", T0, None)], "touch_id long, project_id long, file_path string, touch_kind string, occurred_at timestamp, commit_sha string")
+    history = spark.createDataFrame([(1, "f", 5, T0 + D, T0 + 3 * D), (1, "f", 9, T0 + D, T0 + 2 * D)], "project_id long, path string, commit_id long, authored_at timestamp, committed_at timestamp")
+    assert e.link_forward(touches, history).first().linked_commit_id == 9
+    assert e.link_forward(touches, history.drop("committed_at")).first().linked_commit_id == 5
+
+
 def test_touched_files_are_found_under_any_spelling(spark, tmp_path):
     from lodewright.plans import serving
 

@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from lodewright.functions.scores import signed_general
 from lodewright.operators import report as r
 
 SCORE, FINDING = "project_id long, analyzer string, score double", "project_id long, analyzer string, category string, title string, severity string, path string, score double"
@@ -71,6 +72,20 @@ def test_explain(spark):
     moves = spark.createDataFrame([(1, "m", 2.5, "correlation"), (2, "m", 0.1, "none"), (3, "m", None, "none")], "decision_id long, metric string, delta double, claim string")
     got = {x.file_path: x for x in r.explain(files, decisions, moves).collect()}
     assert [f.name for f in got["f"].factors] == ["risk", "ai_authorship", "weighted_risk", "sessions", "decisions", "consequences"]
-    assert got["f"].prose.endswith("4 decision(s) touch it: “d1”; “d2”; “d3”, and 1 more. Since then: m +2.500 (correlation), no discernible change — correlation, not causation.")
+    assert got["f"].prose.endswith("4 decision(s) touch it: “d1”; “d2”; “d3”, and 1 more. Since then: m +2.5 (correlation), no discernible change — correlation, not causation.")
     assert [f.name for f in got["g"].factors] == ["ai_evidence", "sessions"] and "2 agent sessions (1 write, 0 read)" in got["g"].prose
     assert got["h"].prose == "h: no fusion evidence — not touched by a recorded agent session."
+
+
+def test_numbers_with_sign(spark):
+    values = [2.5, 0.4, -12.0, 123456.789, 1234567.0, 0.0, 0.00001234, 100.0, -0.05, 999999.5, 1e-4]
+    got = [x[0] for x in spark.createDataFrame([(v,) for v in values], "v double").select(signed_general(F.col("v"))).collect()]
+    assert got == [f"{v:+g}" for v in values]
+
+
+def test_long_explanations_are_counted(spark):
+    files = spark.createDataFrame([(1, "f", 70.0, None, None, None, None, None, None, None, None, None)], "project_id long, file_path string, base_risk double, ai double, unattributed double, human double, share_confidence double, writes long, reads long, sessions long, strength double, weighted_risk double")
+    decisions = spark.createDataFrame([(1, "f", i, f"d{i}") for i in range(150)], "project_id long, file_path string, decision_id long, summary string")
+    moves = spark.createDataFrame([(i, "m", float(i), "correlation") for i in range(130)], "decision_id long, metric string, delta double, claim string")
+    prose = r.explain(files, decisions, moves).first().prose
+    assert "150 decision(s) touch it: “d0”; “d1”; “d2”, and 147 more." in prose and prose.endswith("m +99 (correlation), and 30 more — correlation, not causation.")

@@ -42,6 +42,13 @@ def test_rate_limit_and_rank(spark):
     assert w.global_rank(spark.createDataFrame([], "id long, v double"), "v").count() == 0
 
 
+def test_ranks_with_outliers_and_many_ties(spark):
+    rng = random.Random(8)
+    values = [rng.choice([1.0, 2.0, rng.random()]) for _ in range(400)] + [1e300, float("inf"), -float("inf")]
+    ranks = {x.id: x.place for x in w.global_rank(spark.createDataFrame(list(enumerate(values)), "id long, v double"), "v").collect()}
+    assert ranks == {i: 1 + sum(x > v for x in values) for i, v in enumerate(values)}
+
+
 def run(spark, tmp_path, build, schema, *batches, mode="append"):
     """The rows a stream writes when the batches arrive one after another."""
     source, out = tmp_path / "in", tmp_path / "out"
