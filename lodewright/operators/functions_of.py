@@ -41,6 +41,31 @@ def functions_in(source: str) -> list[tuple[str, int, int, int]]:
     return sorted(out, key=lambda f: (f[1], f[0]))
 
 
+def imports_in(source: str) -> list[str]:
+    """What the top-level import statements of a Python text name, relative ones with their dots; none for a text that does not parse."""
+    try:
+        tree = ast.parse(source)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return []
+    out = []
+    for node in tree.body:
+        if isinstance(node, ast.Import):
+            out += [alias.name for alias in node.names]
+        elif isinstance(node, ast.ImportFrom):
+            out.append("." * node.level + (node.module or ""))
+    return list(dict.fromkeys(out))
+
+
+def python_imports(inv: DataFrame) -> DataFrame:
+    """project_id, path, specs, content of the Python files of an inventory: their top-level imports, an empty list where there are none."""
+
+    @F.pandas_udf("array<string>")
+    def walk(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: imports_in(t or ""))
+
+    return inv.where("language = 'python'").select("project_id", "path", walk("content").alias("specs"), "content")
+
+
 def function_metrics(inv: DataFrame) -> DataFrame:
     """project_id, path, function, line, lines, complexity of the Python files of an inventory; other languages are not measured."""
 

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from lodewright.functions.paths import base_name
 from lodewright.functions.scores import guarded_ratio, rounded
+from lodewright.operators.functions_of import python_imports
 from lodewright.session import cut_lineage
 
 # Patterns of imports, and the endings tried for a script's name.
@@ -29,14 +30,16 @@ TARJAN_EDGES = 1_000_000
 
 
 def import_specs(inv: DataFrame) -> DataFrame:
-    """project_id, path, spec: what Python and JavaScript or TypeScript files name in their imports; of the latter only relative names."""
+    """project_id, path, language, spec: what Python and JavaScript or TypeScript files name in their imports; of the latter only relative names.
+
+    Python files are read by their syntax trees; where one finds none (a text that does not parse, imports further in) by the pattern.
+    """
     pieces = lambda pattern, groups: F.flatten(F.array(*[F.regexp_extract_all("content", F.lit(pattern), F.lit(g)) for g in groups]))
-    spec = (
-        F.when(F.col("language") == "python", pieces(PYTHON_IMPORT, (1, 2)))
-        .when(F.col("language").isin("javascript", "typescript"), F.filter(pieces(JS_IMPORT, (1, 2, 3)), lambda x: x.startswith(".")))
-        .otherwise(F.array().cast("array<string>"))
-    )
-    return inv.select("project_id", "path", "language", F.explode(F.array_distinct(F.filter(spec, lambda x: ~x.isin("", ".", "..")))).alias("spec"))
+    scripts = inv.where(F.col("language").isin("javascript", "typescript")).select("project_id", "path", "language", F.filter(pieces(JS_IMPORT, (1, 2, 3)), lambda x: x.startswith(".")).alias("specs"))
+    walked = F.when(F.size("specs") > 0, F.col("specs")).otherwise(pieces(PYTHON_IMPORT, (1, 2)))
+    python = python_imports(inv).select("project_id", "path", F.lit("python").alias("language"), walked.alias("specs"))
+    specs = python.unionByName(scripts)
+    return specs.select("project_id", "path", "language", F.explode(F.array_distinct(F.filter("specs", lambda x: ~x.isin("", ".", "..")))).alias("spec"))
 
 
 def source_roots(inv: DataFrame) -> DataFrame:

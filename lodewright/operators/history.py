@@ -73,9 +73,9 @@ def bus_factor(authored: DataFrame, share: float = BUS_SHARE) -> DataFrame:
     return ranked.groupBy("project_id").agg(F.count("*").alias("authors"), F.max("_all").alias("commits"), reached.cast("long").alias("bus_factor"))
 
 
-def islands(churned: DataFrame) -> DataFrame:
+def islands(churned: DataFrame, least: int = ISLAND_COMMITS) -> DataFrame:
     """project_id, path, commits, first_seen of the files of one author with enough commits."""
-    return churned.where((F.col("authors") <= 1) & (F.col("commits") >= ISLAND_COMMITS)).select("project_id", "path", "commits", "first_seen")
+    return churned.where((F.col("authors") <= 1) & (F.col("commits") >= least)).select("project_id", "path", "commits", "first_seen")
 
 
 def first_islands(lone: DataFrame, top: int = TOP_ISLANDS) -> DataFrame:

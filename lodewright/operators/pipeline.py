@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodewright.functions.paths import module_of
+from lodewright.operators import findings as f
 from lodewright.operators import functions_of, graph, history, report, structure
+from lodewright.session import cut_lineage
 
 
 def scan(files: DataFrame, commits: DataFrame, commit_files: DataFrame, measured: list[str] | None = None) -> dict[str, DataFrame]:
@@ -15,21 +17,25 @@ def scan(files: DataFrame, commits: DataFrame, commit_files: DataFrame, measured
     files has project_id, path and content; measured are the languages whose comments count (by default all known ones but markup and data).
     """
     measured = measured or sorted(set(structure.LANGUAGES.values()) - {"markdown", "json", "yaml", "toml", "html", "css", "scss", "sql", "shell"})
-    inv = structure.inventory(files)
+    whole = structure.inventory(files)
+    # What needs no content reads the inventory's other columns, written once; contents are read once by each of the others.
+    inv = cut_lineage(whole.drop("content"))
     churned = history.file_churn(history.changes(commits, commit_files))
     hot, lone = history.hotspots(churned), history.islands(churned)
     modules = structure.module_rollup(inv)
-    edges = graph.import_edges(inv)
+    edges = cut_lineage(graph.import_edges(whole))
     degree = graph.degrees(edges, inv.select("project_id", module_of(F.col("path")).alias("module")).distinct())
     coupled = graph.coupling(degree, graph.abstractness(inv, module_of(F.col("path"))))
-    markers = structure.marker_counts(inv)
-    functions = functions_of.function_summary(functions_of.function_metrics(inv))
-    sizes = structure.size_medians(inv).join(structure.comment_ratio(inv, measured), "project_id", "left").join(functions, "project_id", "left")
+    markers = cut_lineage(structure.marker_counts(whole))
+    metrics = cut_lineage(functions_of.function_metrics(whole))
+    functions = functions_of.function_summary(metrics)
+    sizes = structure.size_medians(inv).join(structure.comment_ratio(whole, measured), "project_id", "left").join(functions, "project_id", "left")
     debt = structure.debt_density(markers, inv.groupBy("project_id").agg(F.sum("loc").alias("loc")))
+    cycles = cut_lineage(graph.components(edges))
     parts = {
         "git_history": history.score(hot, history.bus_factor(history.author_commits(commits)), lone),
         "architecture": structure.architecture_score(modules),
-        "dependencies": graph.dependency_score(degree, graph.components(edges)),
+        "dependencies": graph.dependency_score(degree, cycles),
         "complexity": sizes.withColumn("score", structure.complexity_score(F.col("long_files"), F.col("long_functions"), F.col("complex_functions"), F.col("comment_ratio"))),
         "tech_debt": debt,
         "coupling": graph.coupling_score(coupled),
@@ -38,10 +44,14 @@ def scan(files: DataFrame, commits: DataFrame, commit_files: DataFrame, measured
     for name, part in parts.items():
         one = part.select("project_id", F.lit(name).alias("analyzer"), "score")
         scores = one if scores is None else scores.unionByName(one)
-    god, pain = structure.god_modules(modules), graph.painful(coupled)
-    findings = report.finding(hot, "git_history", "hotspot", F.concat(F.lit("Hotspot: "), F.col("path")), F.col("severity"), F.col("path"), F.col("composite"))
-    findings = findings.unionByName(report.finding(god, "architecture", "god_module", F.concat(F.lit("God module: "), F.col("module"), F.lit("/")), F.col("severity"), F.concat("module", F.lit("/")), F.lit(80.0)))
-    findings = findings.unionByName(report.finding(pain, "coupling", "stable_concrete", F.concat(F.lit("Painful to change: "), F.col("module")), F.col("severity"), F.col("module"), F.col("distance") * 100))
-    long = structure.long_files(inv)
-    findings = findings.unionByName(report.finding(long, "complexity", "long_file", F.concat(F.lit("Long file: "), F.col("path")), F.col("severity"), F.col("path"), F.col("score")))
-    return {"inventory": inv, "scores": scores, "overall": report.composite(scores), "findings": report.top_findings(findings), "edges": edges, "modules": modules}
+    kinds = [
+        f.hotspot(hot), f.knowledge_island(history.first_islands(lone)), f.god_module(structure.god_modules(modules)), f.deep_nesting(modules), f.import_cycle(cycles), f.heavy_import(degree),
+        f.long_file(structure.long_files(inv)), f.long_function(metrics), f.complex_function(metrics), f.debt_marker(f.marker_locations(whole)), f.debt_hotspot(structure.debt_files(markers)),
+        f.stable_concrete(graph.painful(coupled)),
+    ]
+    findings = kinds[0]
+    for kind in kinds[1:]:
+        findings = findings.unionByName(kind)
+    top = report.top_findings(findings)
+    stats = report.stats(inv, commits)
+    return {"inventory": inv, "scores": scores, "overall": report.composite(scores), "findings": top, "edges": edges, "modules": modules, "stats": stats, "counts": report.counts(top)}

@@ -70,6 +70,20 @@ def top_findings(findings: DataFrame, top: int = TOP_FINDINGS) -> DataFrame:
 # ---- differences between two states
 
 
+def stats(inv: DataFrame, commits: DataFrame) -> DataFrame:
+    """project_id, files, loc, commits of a state."""
+    size = inv.groupBy("project_id").agg(F.count("*").alias("files"), F.sum("loc").alias("loc"))
+    return size.join(commits.groupBy("project_id").agg(F.count("*").alias("commits")), "project_id", "left").withColumn("commits", F.coalesce("commits", F.lit(0)))
+
+
+def stats_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """project_id and by how much files, loc and commits grew from one state to another; what a state has not counts as 0."""
+    names = ["files", "loc", "commits"]
+    old = before.select("project_id", *[F.col(c).alias(f"_{c}") for c in names])
+    both = old.join(after.select("project_id", *names), "project_id", "full_outer")
+    return both.select("project_id", *[(F.coalesce(c, F.lit(0)) - F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in names])
+
+
 def fingerprint() -> Column:
     return F.concat_ws(":", "analyzer", "category", "title")
 
@@ -103,6 +117,44 @@ def sarif_results(findings: DataFrame, shares: DataFrame) -> DataFrame:
     return joined.select("project_id", rule.alias("rule_id"), level.alias("level"), "title", "path", "ai", result.alias("result"))
 
 
+def sarif_runs(results: DataFrame, tool: str = "lodewright", most: int = TOP_FINDINGS) -> DataFrame:
+    """project_id, sarif: one SARIF 2.1.0 log for each project, with its first results by rule and title (top_findings() has no more)."""
+    order = Window.partitionBy("project_id").orderBy("rule_id", "title", "result")
+    first = results.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
+    runs = first.groupBy("project_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "result"))), lambda x: x["result"]), ",").alias("_r"))
+    head = f'{{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"{tool}"}}}},"results":['
+    return runs.select("project_id", F.concat(F.lit(head), "_r", F.lit("]}]}")).alias("sarif"))
+
+
+def json_report(overall: DataFrame, scores: DataFrame, findings: DataFrame) -> DataFrame:
+    """project_id, report: the whole report of a project as JSON without null fields: overall, band, scores, findings in their order."""
+    scored = scores.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct("analyzer", "score"))).alias("scores"))
+    found = findings.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct("place", "analyzer", "category", "title", "severity", "path", "score"))).alias("findings"))
+    whole = overall.join(scored, "project_id", "left").join(found, "project_id", "left")
+    return whole.select("project_id", F.to_json(F.struct("project_id", "overall", "band", "scores", "findings"), {"ignoreNullFields": "true"}).alias("report"))
+
+
+def run_records(runs: DataFrame) -> DataFrame:
+    """runs (analyzer, status, started_at, finished_at, score) with duration_ms, the score to one digit, band, is_measured and passed."""
+    took = F.unix_millis(F.col("finished_at").cast("timestamp")) - F.unix_millis(F.col("started_at").cast("timestamp"))
+    known = runs.withColumns({"duration_ms": took, "score": rounded(F.col("score"), 1)})
+    return known.withColumns({"band": band(F.col("score")), "is_measured": F.col("score").isNotNull(), "passed": F.coalesce(F.col("status") == "completed", F.lit(False))})
+
+
+def detection(truth: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
+    """expected, found, both, recall, false_positive_rate (the share of what was found that is not expected); null where there is nothing to divide by."""
+    t, f = truth.select(*key).distinct().withColumn("_t", F.lit(1)), found.select(*key).distinct().withColumn("_f", F.lit(1))
+    both = t.join(f, key, "full_outer").agg(F.count("_t").alias("expected"), F.count("_f").alias("found"), F.count_if(F.col("_t").isNotNull() & F.col("_f").isNotNull()).alias("both"))
+    return both.withColumns({"recall": rounded(F.try_divide("both", "expected"), 4), "false_positive_rate": rounded(F.try_divide(F.col("found") - F.col("both"), F.col("found")), 4)})
+
+
+def with_evidence(explained: DataFrame) -> DataFrame:
+    """The explanations that say more than the risk, by weighted risk and then base risk, the largest first, with their place in the project."""
+    order = Window.partitionBy("project_id").orderBy(F.desc(F.coalesce("weighted_risk", F.lit(0.0))), F.desc(F.coalesce("base_risk", F.lit(0.0))), "file_path")
+    told = explained.where(F.exists("factors", lambda f: f["name"] != "risk"))
+    return told.withColumn("place", F.row_number().over(order))
+
+
 def code_quality(findings: DataFrame) -> DataFrame:
     """The findings as a code-quality report has them: description, check_name, fingerprint, severity, path."""
     return findings.select(
@@ -161,7 +213,7 @@ def _whole(x: Column) -> Column:
 
 
 def explain(files: DataFrame, decisions: DataFrame, moves: DataFrame) -> DataFrame:
-    """project_id, file_path, factors, prose: what is known of each file, in the order risk, authorship, weighted risk, sessions, decisions, consequences.
+    """project_id, file_path, base_risk, weighted_risk, factors, prose: what is known of each file, in the order risk, authorship, weighted risk, sessions, decisions, consequences.
 
     files has project_id, file_path and, where known, base_risk, ai, unattributed, human, share_confidence, writes, reads, sessions, strength and
     weighted_risk; decisions has project_id, file_path, decision_id and summary; moves has decision_id, metric, delta and claim. A file's
@@ -204,4 +256,4 @@ def explain(files: DataFrame, decisions: DataFrame, moves: DataFrame) -> DataFra
     )
     out = all_.withColumn("factors", factors)
     prose = F.when(F.size("factors") > 0, F.array_join(F.transform("factors", lambda f: f["statement"]), " ")).otherwise(NO_EVIDENCE)
-    return out.select("project_id", "file_path", "factors", F.concat(clean_text(F.col("file_path")), F.lit(": "), prose).alias("prose"))
+    return out.select("project_id", "file_path", "base_risk", "weighted_risk", "factors", F.concat(clean_text(F.col("file_path")), F.lit(": "), prose).alias("prose"))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodewright.functions.paths import resolve_path
+
 # The record types that are turns.
 TURN_TYPES = ("user", "assistant")
 # What each file tool does to a file.
@@ -21,30 +23,32 @@ RECORD_TEXT = "struct<message:struct<content:string>>"
 
 
 def parse_records(lines: DataFrame) -> DataFrame:
-    """file_name, line_no, type, session, cwd, at, parts (array), text of lines that were found readable.
+    """file_name, line_no, type, session, cwd, at, parts (array), text, payload (the message's content as JSON) of lines that were found readable.
 
     A message whose content is one string has no parts but that text; one with parts has the texts of its text parts, joined.
     """
     strict = {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
-    parsed = lines.select("file_name", "line_no", F.from_json("line", RECORD, strict).alias("r"), F.from_json("line", RECORD_TEXT, strict).alias("t"))
+    parsed = lines.select("file_name", "line_no", F.from_json("line", RECORD, strict).alias("r"), F.from_json("line", RECORD_TEXT, strict).alias("t"), F.get_json_object("line", "$.message.content").alias("payload"))
     parts = F.coalesce("r.message.content", F.array().cast(CONTENT))
     texts = F.array_join(F.transform(F.filter(parts, lambda p: p["type"] == "text"), lambda p: F.coalesce(p["text"], F.lit(""))), "\n")
     plain = F.when(F.col("r.message.content").isNull() & ~F.col("t.message.content").rlike(r"^\s*\["), F.col("t.message.content"))
     return parsed.select(
         "file_name", "line_no", F.col("r.type").alias("type"), F.col("r.sessionId").alias("session"), F.col("r.cwd").alias("cwd"), F.col("r.timestamp").alias("at"),
-        parts.alias("parts"), F.coalesce(plain, texts).alias("text"),
+        parts.alias("parts"), F.coalesce(plain, texts).alias("text"), "payload",
     )
 
 
 def turns(records: DataFrame) -> DataFrame:
-    """The user and assistant records of each file's own session with seq, their number in the file from 1, and a hash of their text.
+    """The user and assistant records of each file's own session with seq, their number in the file from 1, and a hash of their payload.
+
+    The payload has the calls and their inputs, so a rewritten call changes the hash even where no text does; it is empty without one.
 
     A file belongs to the session of its first record; records of another session are foreign and left out.
     """
     own = records.groupBy("file_name").agg(F.min_by("session", "line_no").alias("_own"))
     kept = records.join(own, "file_name").where((F.col("session") == F.col("_own")) & F.col("type").isin(*TURN_TYPES))
     order = Window.partitionBy("file_name").orderBy("line_no")
-    return kept.select("file_name", "line_no", "session", F.col("type").alias("role"), "at", "text", F.row_number().over(order).alias("seq"), F.sha2("text", 256).alias("content_hash"))
+    return kept.select("file_name", "line_no", "session", F.col("type").alias("role"), "at", "text", F.row_number().over(order).alias("seq"), F.coalesce(F.sha2("payload", 256), F.lit("")).alias("content_hash"))
 
 
 def file_counts(records: DataFrame) -> DataFrame:
@@ -57,15 +61,15 @@ def file_counts(records: DataFrame) -> DataFrame:
 
 
 def tool_touches(records: DataFrame) -> DataFrame:
-    """file_name, line_no, call_id, touch_kind, file_path, confidence, outcome of every file tool call.
+    """file_name, line_no, call_id, touch_kind, file_path, confidence, outcome of every file tool call of a user or assistant record.
 
     A call is answered by the next result with its id in the file; within a record results come before calls. Outcome is ok
     (confirmed), failed (its result is an error; such calls touched nothing), reused (the id was used again before any
     result), or open (never answered). Calls without an id are open.
     """
-    part = records.select("file_name", "line_no", F.posexplode("parts").alias("part_no", "p"))
+    part = records.select("file_name", "line_no", "type", F.posexplode("parts").alias("part_no", "p"))
     kinds = F.create_map(*[F.lit(x) for kv in TOOL_KINDS.items() for x in kv])
-    calls = part.where((F.col("p.type") == "tool_use") & F.col("p.name").isin(*TOOL_KINDS) & F.col("p.input.file_path").isNotNull()).select(
+    calls = part.where((F.col("p.type") == "tool_use") & F.col("type").isin(*TURN_TYPES) & F.col("p.name").isin(*TOOL_KINDS) & F.col("p.input.file_path").isNotNull()).select(
         "file_name", "line_no", "part_no", F.col("p.id").alias("call_id"), F.element_at(kinds, F.col("p.name")).alias("touch_kind"), F.col("p.input.file_path").alias("file_path"), F.lit("call").alias("event")
     )
     results = part.where(F.col("p.type") == "tool_result").select(
@@ -81,6 +85,19 @@ def tool_touches(records: DataFrame) -> DataFrame:
     return out.select("file_name", "line_no", "call_id", "touch_kind", "file_path", confidence.alias("confidence"), "outcome")
 
 
+def touches_within(calls: DataFrame, records: DataFrame) -> DataFrame:
+    """The calls that touched a file of their log's workspace, with the path relative to it.
+
+    The workspace is the first working directory the log names; without one paths stay as they are. Failed calls touched nothing,
+    and files elsewhere are none of the project's.
+    """
+    root = records.groupBy("file_name").agg(F.min_by("cwd", F.when(F.col("cwd") != "", F.col("line_no"))).alias("_root"))
+    placed = calls.where("outcome <> 'failed'").join(root, "file_name", "left").withColumn("_path", resolve_path(F.col("file_path"), F.col("_root")))
+    inside = F.col("_root").isNull() | F.col("_path").startswith(F.concat("_root", F.lit("/")))
+    relative = F.when(F.col("_root").isNull(), F.col("file_path")).otherwise(F.expr("substring(_path, length(_root) + 2)"))
+    return placed.where(inside).withColumn("file_path", relative).drop("_root", "_path")
+
+
 def bounds(events: DataFrame, session: list[str], time: str) -> DataFrame:
     """Per session: turns, the last seq (0 without any), and the first and last time."""
     return events.groupBy(*session).agg(F.count("*").alias("turns"), F.coalesce(F.max("seq"), F.lit(0)).alias("watermark"), F.min(time).alias("first_at"), F.max(time).alias("last_at"))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from lodewright.operators import consequences as q
 from lodewright.operators import decisions as d
 from lodewright.operators import evidence as e
+from lodewright.operators import findings as f
 from lodewright.operators import history as h
 from lodewright.operators import report as r
+from lodewright.operators import structure as s
 from lodewright.plans import fusion, graph, history, structure
 from lodewright.session import table
 
@@ -27,22 +29,12 @@ def _scores(spark, sf_dir):
     return out
 
 
-def _hotspot_findings(hot):
-    return r.finding(hot, "git_history", "hotspot", F.concat(F.lit("Hotspot: "), F.col("path")), F.col("severity"), F.col("path"), F.col("composite"))
-
-
 def _findings(spark, sf_dir):
-    god = structure.arch_god_modules(spark, sf_dir)
-    long = structure.cx_long_files(spark, sf_dir)
-    pain = graph.coupling_painful(spark, sf_dir)
-    debt = structure.debt_files(spark, sf_dir)
     parts = [
-        _hotspot_findings(history.git_hotspots(spark, sf_dir)),
-        r.finding(god, "architecture", "god_module", F.concat(F.lit("God module: "), F.col("module"), F.lit("/")), F.col("severity"), F.concat("module", F.lit("/")), F.lit(80.0)),
-        r.finding(long, "complexity", "long_file", F.concat(F.lit("Long file: "), F.col("path")), F.col("severity"), F.col("path"), F.col("score")),
-        r.finding(pain, "coupling", "stable_concrete", F.concat(F.lit("Painful to change: "), F.col("module")), F.col("severity"), F.col("module"), F.col("distance") * 100),
-        r.finding(debt, "tech_debt", "debt_hotspot", F.concat(F.lit("Debt hotspot: "), F.col("path")), F.lit("medium"), F.col("path"), F.col("weighted") * 5),
-    ]
+        f.hotspot(history.git_hotspots(spark, sf_dir)), f.knowledge_island(history.git_islands(spark, sf_dir)), f.god_module(structure.arch_god_modules(spark, sf_dir)),
+        f.import_cycle(graph.graph_cycles(spark, sf_dir)), f.long_file(structure.cx_long_files(spark, sf_dir)), f.debt_hotspot(structure.debt_files(spark, sf_dir)),
+        f.stable_concrete(graph.coupling_painful(spark, sf_dir)),
+    ]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -70,7 +62,7 @@ def _hot_until(spark, sf_dir, until):
 
 def diff_findings(spark, sf_dir):
     """How the hotspots of 2024 differ from those of the whole history."""
-    return r.findings_diff(_hotspot_findings(_hot_until(spark, sf_dir, _CUT)), _hotspot_findings(_hot_until(spark, sf_dir, None)))
+    return r.findings_diff(f.hotspot(_hot_until(spark, sf_dir, _CUT)), f.hotspot(_hot_until(spark, sf_dir, None)))
 
 
 def diff_scores(spark, sf_dir):
@@ -147,11 +139,47 @@ def latest_scan_risk(spark, sf_dir):
     return e.latest_per_key(risk, ["project_id"], F.desc("risk"), F.asc("metric"))
 
 
+def explained_with_evidence(spark, sf_dir):
+    """Fusion as one list: the files that more than their risk is known of, by weighted risk."""
+    return r.with_evidence(_explained(spark, sf_dir)).select("project_id", "file_path", "place", "weighted_risk", "base_risk")
+
+
+def diff_stats(spark, sf_dir):
+    """By how much each project's files, lines and commits grew since 2024."""
+    docs, commits = table(spark, sf_dir, "documents").where("project_id IS NOT NULL"), table(spark, sf_dir, "commits")
+    cut = F.lit(_CUT).cast("timestamp")
+    state = lambda d, c: r.stats(s.inventory(d.select("project_id", F.col("doc_path").alias("path"), F.col("text").alias("content"))), c)
+    return r.stats_diff(state(docs.where(F.col("written_at") < cut), commits.where(F.col("authored_at") < cut)), state(docs, commits))
+
+
+def sarif_log(spark, sf_dir):
+    return r.sarif_runs(r.sarif_results(_findings(spark, sf_dir), fusion.share_split(spark, sf_dir)))
+
+
+def report_json(spark, sf_dir):
+    return r.json_report(score_composite(spark, sf_dir), _scores(spark, sf_dir), report_top_findings(spark, sf_dir))
+
+
+def run_bookkeeping(spark, sf_dir):
+    """Metric samples as analyzer runs that took as many milliseconds as their value is high."""
+    runs = table(spark, sf_dir, "events").select(
+        "event_id", F.col("event_type").alias("analyzer"), F.when(F.col("value") < 100, "completed").otherwise("failed").alias("status"), F.col("ts").cast("timestamp").alias("started_at"),
+        F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.floor(F.col("value")).cast("bigint") * 1000).alias("finished_at"), F.when(F.col("value") <= 100, F.col("value")).alias("score"),
+    )
+    return r.run_records(runs).select("event_id", "analyzer", "duration_ms", "score", "band", "is_measured", "passed")
+
+
+def eval_detection(spark, sf_dir):
+    """How well the touches that sessions recorded tell which files commits changed."""
+    changed = table(spark, sf_dir, "commit_files").select("project_id", "path")
+    return r.detection(changed, fusion.touches(spark, sf_dir).where("touch_kind <> 'read'").select("project_id", F.col("file_path").alias("path")), ["project_id", "path"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         score_composite, finding_counts, report_top_findings, diff_findings, diff_scores, sarif_rows, sarif_json, code_quality_rows, guard_violations, guard_violations_planted,
-        prom_histogram, eval_calibration, explain_prose, explain_factors, latest_scan_risk,
+        prom_histogram, eval_calibration, explain_prose, explain_factors, latest_scan_risk, explained_with_evidence, diff_stats, sarif_log, report_json, run_bookkeeping, eval_detection,
     )
 }
 
@@ -169,8 +197,12 @@ def _sql_findings(hot=_GIT["git_hotspots"]):
     bounded = "cast(round(cast(least(greatest({}, 0), 100) as decimal(38, 12)), 4) as double)"
     return f"""findings as (
   select project_id, 'git_history' as analyzer, 'hotspot' as category, 'Hotspot: ' || path as title, severity, path, {bounded.format('composite')} as score from ({hot})
-  union all select project_id, 'architecture', 'god_module', 'God module: ' || module || '/', severity, module || '/', 80.0 from ({_STR['arch_god_modules']})
-  union all select project_id, 'complexity', 'long_file', 'Long file: ' || path, severity, path, {bounded.format('score')} from ({_STR['cx_long_files']})
+  union all select project_id, 'git_history', 'knowledge_island', 'Knowledge island: ' || path, 'medium', path, 60.0 from ({_GIT['git_islands']})
+  union all select project_id, 'architecture', 'god_module', 'God module: ' || module || '/', severity, module || '/', 80.0 from ({_STR['arch_god_modules']}) where place <= 3
+  union all select project_id, 'dependencies', 'import_cycle', 'Import cycle: ' || names, case when n <= 4 then 'high' else 'medium' end, null, case when n <= 4 then 70.0 else 40.0 end from (
+    select *, row_number() over (partition by project_id order by component) as k from (
+      select project_id, component, count(*) as n, string_agg(module, ' → ' order by module) as names from ({_GRA['graph_cycles']}) group by all)) where k <= 5
+  union all select project_id, 'complexity', 'long_file', 'Long file: ' || path || ' (' || format('{{:,}}', loc) || ' LOC)', severity, path, {bounded.format('score')} from ({_STR['cx_long_files']})
   union all select project_id, 'coupling', 'stable_concrete', 'Painful to change: ' || module, severity, module, {bounded.format('distance * 100')} from ({_GRA['coupling_painful']})
   union all select project_id, 'tech_debt', 'debt_hotspot', 'Debt hotspot: ' || path, 'medium', path, {bounded.format('weighted * 5')} from ({_STR['debt_files']}))"""
 
@@ -202,6 +234,24 @@ facts as (
   left join named d on d.project_id = r.project_id and d.file_path = r.file_path left join gone g on g.project_id = r.project_id and g.file_path = r.file_path)"""
 
 ORACLE = {
+    "explained_with_evidence": f"""with {_EXPLAIN}
+select f.project_id, f.file_path, row_number() over (partition by f.project_id order by coalesce(r.weighted_risk, 0) desc, coalesce(r.base_risk, 0) desc, f.file_path) as place, r.weighted_risk, r.base_risk
+from facts f join risk r on r.project_id = f.project_id and r.file_path = f.file_path where len(list_filter(f.f, lambda x: x[2] is not null and x[1] <> 'risk')) > 0""",
+    "diff_stats": f"""
+with now as (select project_id, count(*) as files, sum(loc) as loc from ({_STR['loc_per_file']}) where project_id is not null group by all),
+then_ as (select project_id, count(*) as files, sum(loc) as loc from ({_STR['loc_per_file'].replace("from documents where", "from documents where written_at < timestamptz '2025-01-01 00:00:00+00' and")}) where project_id is not null group by all),
+c as (select project_id, count(*) as n, count(*) filter (authored_at < timestamptz '2025-01-01 00:00:00+00') as old from commits group by all)
+select project_id, now.files - coalesce(then_.files, 0) as files, cast(now.loc - coalesce(then_.loc, 0) as bigint) as loc,
+       coalesce(c.n, 0) - case when then_.files is null then 0 else coalesce(c.old, 0) end as commits
+from now left join then_ using (project_id) left join c using (project_id)""",
+    "run_bookkeeping": """
+select event_id, event_type as analyzer, cast(floor(value) as bigint) as duration_ms, score, case when score is null then null when score >= 85 then 'excellent' when score >= 70 then 'good' when score >= 50 then 'fair'
+       when score >= 30 then 'poor' else 'critical' end as band, score is not null as is_measured, value < 100 as passed
+from (select *, cast(round(cast(case when value <= 100 then value end as decimal(38, 12)), 1) as double) as score from events)""",
+    "eval_detection": f"""with {fusion.TOUCHES},
+t as (select distinct project_id, path from commit_files), g as (select distinct project_id, file_path as path from touches where touch_kind <> 'read'),
+n as (select (select count(*) from t) as expected, (select count(*) from g) as found, (select count(*) from t join g using (project_id, path)) as both_)
+select expected, found, both_ as both, cast(round(cast(both_ / expected as decimal(38, 12)), 4) as double) as recall, cast(round(cast((found - both_) / found as decimal(38, 12)), 4) as double) as false_positive_rate from n""",
     "score_composite": f"""with {_SCORES},
 mean as (select project_id, cast(round(cast(sum(score * weight) / sum(weight) as decimal(38, 12)), 1) as double) as overall, count(score) as measured,
                 string_agg(analyzer || ': ' || format('{{:.1f}}', score) || ' x ' || format('{{:.1f}}', weight), '; ' order by analyzer || ': ') as ledger from scores group by all)
@@ -222,7 +272,7 @@ select f.project_id, analyzer || '/' || category as rule_id, case severity when
 from findings f left join share s on s.project_id = f.project_id and s.path = f.path where f.project_id is not null""",
     "code_quality_rows": f"""with {_sql_findings()}
 select project_id, title as description, category as check_name, analyzer || ':' || category || ':' || title as fingerprint,
-       case severity when 'high' then 'critical' when 'medium' then 'major' when 'low' then 'minor' end as severity, path from findings where project_id is not null""",
+       case severity when 'high' then 'critical' when 'medium' then 'major' when 'low' then 'minor' end as severity, coalesce(path, '.') as path from findings where project_id is not null""",
     "guard_violations": f"""
 select 'touch_confidence_below_1' as rule, 'touch ' || touch_id as ref from session_file_touches where confidence >= 1
 union all select 'confidence_below_1', 'decision ' || decision_id from decisions where confidence >= 1

@@ -135,11 +135,12 @@ def set_files_gone(spark, sf_dir):
 
 
 def set_status_changed(spark, sf_dir):
-    """Projects whose most frequent decision status differs between sources."""
+    """Projects whose most frequent status of decision records differs between records with a rationale and without."""
     rows = table(spark, sf_dir, "decisions").where("status IS NOT NULL AND project_id IS NOT NULL")
-    n = rows.groupBy("project_id", "source", F.lower("status").alias("status")).agg(F.count("*").alias("n"))
+    rows = rows.withColumn("source", F.when(F.col("rationale").isNotNull(), "told").otherwise("bare"))
+    n = rows.groupBy("project_id", "source", F.lower(F.trim("status")).alias("status")).agg(F.count("*").alias("n"))
     top = n.groupBy("project_id", "source").agg(F.min_by("status", F.struct(-F.col("n"), "status")).alias("status"))
-    a, b = top.where("source = 'adr'"), top.where("source = 'issue'").withColumnsRenamed({"status": "other", "source": "_s"})
+    a, b = top.where("source = 'told'"), top.where("source = 'bare'").withColumnsRenamed({"status": "other", "source": "_s"})
     return a.join(b, "project_id").where("status <> other").select("project_id", "status", "other")
 
 
@@ -213,9 +214,9 @@ select file, epoch_us(min(at_)) as starts_at, epoch_us(max(at_) + interval 6 hou
     "set_files_both": f"with {_SETS} select * from early intersect select * from late",
     "set_files_gone": f"with {_SETS} select * from early except select * from late",
     "set_status_changed": """
-with n as (select project_id, source, lower(status) as status, count(*) as n from decisions where status is not null and project_id is not null group by all),
+with n as (select project_id, case when rationale is not null then 'told' else 'bare' end as source, lower(trim(status)) as status, count(*) as n from decisions where status is not null and project_id is not null group by all),
 top as (select project_id, source, arg_min(status, (-n, status)) as status from n group by all)
-select a.project_id, a.status, b.status as other from top a join top b using (project_id) where a.source = 'adr' and b.source = 'issue' and a.status <> b.status""",
+select a.project_id, a.status, b.status as other from top a join top b using (project_id) where a.source = 'told' and b.source = 'bare' and a.status <> b.status""",
     "text_clean": r"""
 select delivery_id, md5(chr(13) || regexp_replace(content, '\x1B\[[0-9;?]*[ -/]*[@-~]|[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]|[\x{202A}-\x{202E}\x{2066}-\x{2069}]', '', 'g') || chr(8206)) as clean,
        md5(case when length(p) > 60 then left(p, 60) || '...[truncated]' else p end) as logged

@@ -60,16 +60,28 @@ def turn_repositories(spark, sf_dir):
     return said.select(*[c.alias(k) for k, c in repository_of(F.col("url")).items()]).groupBy("scheme", "host", "owner", "name").agg(F.count("*").alias("mentions"))
 
 
-def tool_call_touches(spark, sf_dir):
+def _readable(spark, sf_dir):
+    """The lines of session logs that the strict load accepts."""
     lines = table(spark, sf_dir, "raw_lines")
     good = quarantine.strict_load(lines, "session_log").select(F.col("line_id").alias("_id"), F.col("_sum").alias("_s"))
-    readable = quarantine.with_offset(lines).join(good, (F.col("line_id") == F.col("_id")) & (F.col("_sum") == F.col("_s")), "left_semi")
-    return s.tool_touches(s.parse_records(readable))
+    return quarantine.with_offset(lines).join(good, F.col("line_id").eqNullSafe(F.col("_id")) & (F.col("_sum") == F.col("_s")), "left_semi")
+
+
+def tool_call_touches(spark, sf_dir):
+    return s.tool_touches(s.parse_records(_readable(spark, sf_dir)))
+
+
+def tool_touches_within(spark, sf_dir):
+    records = s.parse_records(_readable(spark, sf_dir))
+    return s.touches_within(s.tool_touches(records), records)
+
+
+def log_turns(spark, sf_dir):
+    return s.turns(s.parse_records(_readable(spark, sf_dir))).select("file_name", "line_no", "session", "role", "seq", "content_hash")
 
 
 def session_records(spark, sf_dir):
-    lines = table(spark, sf_dir, "raw_lines").where("feed = 'session_log'")
-    return s.file_counts(s.parse_records(lines).where("type IS NOT NULL AND session IS NOT NULL"))
+    return s.file_counts(s.parse_records(_readable(spark, sf_dir)))
 
 
 def store_upsert(spark, sf_dir):
@@ -111,15 +123,21 @@ def decision_numbers(spark, sf_dir):
 
 
 def decision_names_record(spark, sf_dir):
-    """Commits and issues that name a decision record of their project."""
+    """Decisions that name a decision record of their project. As written none do, so each is given the citation of the first of its project."""
+    return d.names_record(_citing(spark, sf_dir), table(spark, sf_dir, "decisions"))
+
+
+def _citing(spark, sf_dir):
     rows = table(spark, sf_dir, "decisions")
-    return d.names_record(rows.where("source <> 'adr'"), rows)
+    first = d.record_numbers(rows).groupBy("project_id").agg(F.min("number").alias("_first")).withColumnRenamed("project_id", "_p")
+    cited = rows.where("source <> 'adr'").join(first, F.col("project_id") == F.col("_p"))
+    return cited.withColumn("rationale", F.concat(F.coalesce("rationale", F.lit("")), F.format_string(" Follows adr-%04d.", "_first"))).drop("_p", "_first")
 
 
 def turn_names_commit(spark, sf_dir):
-    """Turns that cite a commit of their project."""
-    turns = table(spark, sf_dir, "session_events").where("content IS NOT NULL")
-    return d.names_commit(turns, F.col("content"), table(spark, sf_dir, "commits"), "delivery_id")
+    """Notes on touches that cite a commit of their project by the first digits of its name; no turn of the tables cites one."""
+    notes = table(spark, sf_dir, "session_file_touches").where("commit_sha IS NOT NULL").select("touch_id", "project_id", F.concat(F.lit("went into "), F.upper(F.left("commit_sha", F.lit(9))), F.lit(", see there")).alias("note")).distinct()
+    return d.names_commit(notes, F.col("note"), table(spark, sf_dir, "commits"), "touch_id")
 
 
 def decision_files(spark, sf_dir):
@@ -136,14 +154,13 @@ def decision_one_per_reference(spark, sf_dir):
 
 
 def decision_neighbours(spark, sf_dir):
-    rows = table(spark, sf_dir, "decisions")
-    return d.neighbours(d.names_record(rows.where("source <> 'adr'"), rows))
+    return d.neighbours(d.names_record(_citing(spark, sf_dir), table(spark, sf_dir, "decisions")))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        session_bounds, session_ingest, session_redacted, session_adopted, turn_sha256, turn_repositories, tool_call_touches, session_records, store_upsert, store_insert_new,
+        session_bounds, session_ingest, session_redacted, session_adopted, turn_sha256, turn_repositories, tool_call_touches, tool_touches_within, log_turns, session_records, store_upsert, store_insert_new,
         store_replace_scope, decision_commits, decision_records, decision_numbers, decision_names_record, turn_names_commit, decision_files, decision_without_files,
         decision_one_per_reference, decision_neighbours,
     )
@@ -164,8 +181,8 @@ numbers as (
     from decisions where source = 'adr') where number is not null group by all),
 named as (
   select distinct c.decision_id, n.record as related_decision_id from (
-    select decision_id, project_id, unnest(regexp_extract_all(coalesce(summary, '') || chr(10) || coalesce(rationale, ''), '(?i)\bADR[-\s]?0*(\d{1,4})\b', 1)) as ref
-    from decisions where source <> 'adr') c join numbers n on c.project_id is not distinct from n.project_id and cast(c.ref as int) = n.number where c.decision_id <> n.record)"""
+    select decision_id, project_id, unnest(regexp_extract_all(coalesce(summary, '') || chr(10) || coalesce(rationale, '') || ' Follows adr-' || lpad(cast(first as varchar), 4, '0') || '.', '(?i)\bADR[-\s]?0*(\d{1,4})\b', 1)) as ref
+    from decisions join (select project_id, min(number) as first from numbers group by all) using (project_id) where source <> 'adr') c join numbers n on c.project_id is not distinct from n.project_id and cast(c.ref as int) = n.number where c.decision_id <> n.record)"""
 _MINED = r"""
 mined as (
   select commit_id as decision_id, project_id, 'commit' as source, left(sha, 12) as source_ref, coalesce(nullif(trim(string_split(message, chr(10))[1]), ''), '(no subject)') as summary,
@@ -195,11 +212,15 @@ with linked as (select * from session_file_touches where commit_sha is not null
 select touch_kind, count(*) as n, cast(sum(touch_id) as bigint) as ids from (
   select touch_kind, touch_id from session_file_touches where session_id not in (select session_id from linked) union all select touch_kind, touch_id from linked) group by all""",
     "decision_commits": f"with {_MINED} select * replace (epoch_us(decided_at) as decided_at), case when rationale is not null then 0.6::double else 0.3::double end as confidence from mined",
+    "decision_records": r"""
+select project_id, doc_path as source_ref, title as summary, length(nullif(rest, '')) as rationale_chars, nullif(trim(regexp_extract(head, '(?i)status[^\p{L}]*(\p{L}[\p{L} ]*\p{L})', 1)), '') as status,
+       try_cast(nullif(regexp_extract(head, '\d{4}-\d\d-\d\d'), '') as date) as decided_on, 0.95::double as confidence
+from (select *, regexp_extract(text, '(?m)^#[ \t]+(\S.*?)[ \t]*$', 1) as title, regexp_replace(text, '(?s)(^|\n)##\s.*', '\1') as head,
+             regexp_replace(regexp_replace(text, '(?s)\A(.*?\n)??#[ \t]+\S[^\n]*(\n|\z)', ''), '\A\s+|\s+\z', '', 'g') as rest from documents where doc_path like 'adr/%') where title <> ''""",
     "decision_numbers": f"with {_NAMES} select project_id, number, record as decision_id from numbers",
     "decision_names_record": f"with {_NAMES} select * from named",
     "turn_names_commit": r"""
-select distinct t.delivery_id, c.commit_id from (
-  select delivery_id, project_id, unnest(regexp_extract_all(lower(content), '\b([0-9a-f]{7,40})\b', 1)) as ref from session_events where content is not null) t
+select distinct t.touch_id, c.commit_id from (select touch_id, project_id, lower(left(commit_sha, 9)) as ref from session_file_touches where commit_sha is not null) t
 join commits c on c.project_id is not distinct from t.project_id and (starts_with(lower(c.sha), t.ref) or starts_with(t.ref, lower(c.sha)))""",
     "decision_files": "select distinct c.commit_id as decision_id, c.project_id, f.path from commits c join commit_files f using (sha)",
     "decision_without_files": "select commit_id as decision_id, project_id from commits where sha not in (select sha from commit_files where added is not null)",

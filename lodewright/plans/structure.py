@@ -143,6 +143,8 @@ _WEIGHT = "case marker " + " ".join(f"when '{m}' then {w}::double" for m, (_, w)
 _NUM = "cast(round(cast({} as decimal(38, 12)), {}) as double)"
 
 ORACLE = {
+    # no text of the tables is over the 2 MiB from which lines are estimated
+    "loc_estimated": f"select doc_path as path, {_LOC.format('text')} as loc from documents",
     "loc_per_file": f"with {_INV} select project_id, path, module, depth, language, size_bytes, loc from inv",
     "arch_module_rollup": f"with {_INV}, {_MODULES} select * from modules",
     "arch_god_modules": f"with {_INV}, {_MODULES}, {_GOD} select * from god",
