@@ -4,8 +4,7 @@ The corpus is counted in cells of source, language and topic. Raking fits the ce
 marginals: the sources' target shares, and the shares that languages and topics have in the corpus, as far as
 the cap on repeats leaves room. A cell's weight over its tokens is the expected number of uses of each of its
 documents; whole uses are given, the remaining fraction is the document's probability of one more. Documents are drawn by
-systematic sampling in order of size: exactly with that probability each, and so that the tokens drawn differ from their
-expectation by no more than the largest document of the part has.
+sampling balanced on tokens: exactly with that probability each, and so that the tokens drawn stay close to their expectation.
 
 Cells are those of the actual languages and topics. Where they are too many for the driver, the rarer topics are
 raked there in classes, and then each class by itself in a task, from its weights of source and language down to
@@ -83,14 +82,36 @@ def sizes(documents: DataFrame, n_tokens: Column, key: str = "doc_id") -> DataFr
     return cut_lineage(rows)
 
 
-def systematic(chance: np.ndarray, start: float) -> np.ndarray:
-    """Which documents are drawn with these probabilities; start, uniform from 0 to 1, decides where counting begins.
+def balanced(tokens: np.ndarray, chance: np.ndarray, chances: np.random.Generator) -> np.ndarray:
+    """Which documents are drawn: each exactly with its own probability, and their tokens as near to the expectation as one document allows.
 
-    A document is drawn where the running sum of the probabilities passes another whole number, so each is drawn exactly
-    with its own probability over all starts, and of any stretch as many as its sum to within one.
+    Two undecided documents trade tokens of expectation until one of them is certain; the odds of either direction are such
+    that no probability changes on average, and what one gives the other takes, so the sum stays. By decreasing tokens the
+    documents that meet are of like size, and the one left at the end is mostly a small one.
     """
-    passed = np.floor(np.cumsum(chance) + start + 1e-12)
-    return np.diff(passed, prepend=np.floor(start + 1e-12)).astype(np.int32)
+    taken = np.zeros(len(tokens), dtype=np.int32)
+    open_, p_open, n_open = -1, 0.0, 0.0
+    for j, (n, p, x) in enumerate(zip(tokens.tolist(), chance.tolist(), chances.random(len(tokens)).tolist())):
+        if p <= 1e-9 or p >= 1 - 1e-9:
+            taken[j] = p > 0.5
+            continue
+        if open_ < 0:
+            open_, p_open, n_open = j, p, n
+            continue
+        gain, loss = min((1 - p_open) * n_open, p * n), min(p_open * n_open, (1 - p) * n)
+        moved = gain if x * (gain + loss) < loss else -loss
+        p_open, p = p_open + moved / n_open, p - moved / n
+        settled = p_open <= 1e-9 or p_open >= 1 - 1e-9
+        if settled:
+            taken[open_] = p_open > 0.5
+        if p <= 1e-9 or p >= 1 - 1e-9:
+            taken[j] = p > 0.5
+            open_ = -1 if settled else open_
+        else:
+            open_, p_open, n_open = j, p, n
+    if open_ >= 0:
+        taken[open_] = chances.random() < p_open
+    return taken
 
 
 def _rates_of_classes(cells: DataFrame, shares: dict[str, float], repeats: dict[str, int], total: float | None) -> DataFrame:
@@ -161,8 +182,8 @@ def draw(sized: DataFrame, targets: DataFrame, mix: str, key: str = "doc_id", to
         rows = rows.sort_values(["n_tokens", "_number", "key"], ascending=[False, True, True], ignore_index=True)
         rate = rows["rate"].to_numpy()
         whole = np.floor(rate + 1e-9)
-        start = float(np.random.default_rng([zlib.crc32(f"{mix}/{group[0]}".encode()), int(group[1])]).random())
-        extra = systematic(np.maximum(rate - whole, 0.0), start)
+        chances = np.random.default_rng([zlib.crc32(f"{mix}/{group[0]}".encode()), int(group[1])])
+        extra = balanced(rows["n_tokens"].to_numpy(), np.maximum(rate - whole, 0.0), chances)
         rows["repeats"] = np.minimum(whole + extra, repeats[rows["source"].iloc[0]]).astype(np.int32)
         return rows.loc[rows["repeats"] > 0, ["key", "source", "n_tokens", "repeats"]]
 
