@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodewright.operators import consequences as q
 from lodewright.operators import decisions as d
 from lodewright.operators import evidence as e
 from lodewright.operators import findings as f

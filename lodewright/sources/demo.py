@@ -20,3 +20,17 @@ def demo_commits(spark: SparkSession, n: int, projects: int = 5, files: int = 20
         F.concat(F.lit("m"), _draw(seed, "m", 9).cast("string"), F.lit("/f"), _draw(seed, "f", files).cast("string"), F.lit(".py")).alias("path"),
         _draw(seed, "+", 80).cast("int").alias("added"), _draw(seed, "-", 40).cast("int").alias("removed"),
     )
+
+
+def demo_touches(spark: SparkSession, n: int, projects: int = 5, files: int = 200, seed: int = 1) -> DataFrame:
+    """touch_id, session_id, project_id, file_path, touch_kind, confidence, occurred_at, commit_sha (null): what sessions did to the files of demo_commits().
+
+    The touch of a number comes up to half an hour before the commit of that number, on its file.
+    """
+    commits = demo_commits(spark, n, projects, files, seed).withColumn("id", F.col("commit_id"))
+    before = F.timestamp_micros(F.unix_micros("authored_at") - _draw(seed, "b", 1_800_000_000))
+    kind = F.element_at(F.array(*map(F.lit, ("write", "write", "create", "delete", "read"))), (_draw(seed, "k", 5) + 1).cast("int"))
+    return commits.select(
+        F.col("id").alias("touch_id"), F.concat(F.lit("session-"), (F.col("id") / 20).cast("long").cast("string")).alias("session_id"), "project_id", F.col("path").alias("file_path"), kind.alias("touch_kind"),
+        F.when(_draw(seed, "c", 4) > 0, 0.9).otherwise(0.5).alias("confidence"), before.alias("occurred_at"), F.lit(None).cast("string").alias("commit_sha"),
+    )

@@ -64,3 +64,14 @@ def test_git_history(spark, tmp_path):
 def test_demo_is_deterministic(spark):
     one, two = (sorted(map(tuple, demo.demo_commits(spark, 50, seed=s).collect())) for s in (3, 3))
     assert one == two and one != sorted(map(tuple, demo.demo_commits(spark, 50, seed=4).collect()))
+
+
+def test_demo_touches_precede_their_commits(spark):
+    from lodewright.operators import evidence as e
+    from lodewright.sources.demo import demo_commits, demo_touches
+
+    touches, commits = demo_touches(spark, 120, files=3), demo_commits(spark, 120, files=3)
+    linked = e.link_forward(touches, commits.select("project_id", "path", "commit_id", "authored_at")).collect()
+    assert len(linked) == touches.where("touch_kind <> 'read'").count() > 60
+    assert all(r.linked_commit_id is not None and r.linked_commit_id <= r.touch_id and r.linked_at >= r.occurred_at for r in linked)
+    assert sorted(map(str, touches.collect())) == sorted(map(str, demo_touches(spark, 120, files=3).collect()))
